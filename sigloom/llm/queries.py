@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from sigloom.session import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents (doc_id, text) with one line left of each group of similar lines."""
+    from sigloom.llm.line_dedup import line_dedup
+
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, group_id) of every document in a group of near duplicates."""
     from sigloom.llm.near_dedup import near_groups
@@ -17,7 +24,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_near_dedup": op4_near_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op4_near_dedup": op4_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
