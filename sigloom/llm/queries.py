@@ -16,6 +16,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated span of every document: doc_id, item_id, first_word, n_words, total_words, action."""
+    from sigloom.llm.decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, group_id) of every document in a group of near duplicates."""
     from sigloom.llm.near_dedup import near_groups
@@ -24,7 +31,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_near_dedup": op4_near_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op4_near_dedup": op4_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
