@@ -30,8 +30,23 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece_ids, n_pieces, exact) of every document; exact: decoding gives its text back."""
+    from sigloom.llm.spm import encoded
+
+    return encoded(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, posterior, good_votes, bad_votes) of the documents whose posterior quality lets them stay."""
+    from sigloom.llm.quality import kept
+
+    return kept(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_decontaminate": op2_decontaminate, "op4_near_dedup": op4_near_dedup}
+    every = (op1_line_dedup, op2_decontaminate, op4_near_dedup, op6_sentencepiece, op10_quality_rules)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -199,20 +199,23 @@ def min_hashes(values: np.ndarray, starts: np.ndarray, mults: np.ndarray) -> np.
     ``h(x) = (x * m mod 2**32) ^ (that >> 15)`` on values that are already
     mixed; the order it gives to distinct values is what MinHash needs.
     """
-    out = np.empty((len(starts), len(mults)), np.uint32)
+    out = np.empty((len(mults), len(starts)), np.uint32)
     step = 1 << 16  # values a block, so that a block stays in cache
     bounds = np.searchsorted(starts, np.arange(0, len(values) + step, step))
     bounds = np.unique(np.concatenate([bounds, [0, len(starts)]]))
-    with np.errstate(over="ignore"):
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            lo = starts[a]
-            hi = starts[b] if b < len(starts) else len(values)
-            block, at = values[lo:hi], starts[a:b] - lo
-            for j, m in enumerate(mults):
-                h = block * m
-                h ^= h >> np.uint32(15)
-                out[a:b, j] = np.minimum.reduceat(h, at)
-    return out
+    ends = np.append(starts, len(values))
+    room = int((ends[bounds[1:]] - ends[bounds[:-1]]).max()) if len(starts) else 0
+    one, two = np.empty(room, np.uint32), np.empty(room, np.uint32)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        lo, hi = ends[a], ends[b]
+        block, at = values[lo:hi], starts[a:b] - lo
+        h, t = one[: hi - lo], two[: hi - lo]
+        for j, m in enumerate(mults):
+            np.multiply(block, m, out=h)
+            np.right_shift(h, np.uint32(15), out=t)
+            np.bitwise_xor(h, t, out=h)
+            np.minimum.reduceat(h, at, out=out[j, a:b])
+    return out.T
 
 
 def signed(h: np.ndarray) -> np.ndarray:
