@@ -45,8 +45,6 @@ from sigloom.llm import textkernel as tk
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-#: Distinct parts whose ids a worker keeps between batches; more only cost time.
-CACHE_PARTS = 400_000
 #: Bytes of text encoded at once.
 CHUNK_BYTES = 1 << 21
 _TABLE = 0x3000  # characters below have a place in the table of joinable pairs
@@ -270,13 +268,7 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-        self.offset = np.zeros(1, np.int64)
+        self.cache = tk.PartCache(model.encode_parts)
 
     def cuts(self, points: np.ndarray) -> np.ndarray:
         """Indices i such that nothing joins characters i - 1 and i."""
@@ -308,41 +300,17 @@ class Encoder:
         ends = np.append(starts[1:], len(points))
         raw = np.ascontiguousarray(points.astype("<u4")).view(np.uint8)
         h = tk.hash_spans(raw, starts * 4, ends * 4)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        self._learn(distinct, first, starts, ends, points)
-        slot = self.slot[np.searchsorted(self.keys, distinct)][inverse]
-        count = self.offset[slot + 1] - self.offset[slot]
-        total = np.cumsum(count)
-        ids = self.flat[np.arange(total[-1]) + np.repeat(self.offset[slot] - (total - count), count)]
+        joined = raw.tobytes()
+        ids, bound = self.cache.ids(h, lambda pick: [joined[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[pick].tolist(), ends[pick].tolist())])
         part_of = np.searchsorted(starts, heads)
         row_at = np.zeros(len(offsets) - 1, np.int64)
-        bound = np.append(total - count, total[-1])
         row_at[size > 0] = bound[part_of]
-        full = np.append(row_at, total[-1])
+        full = np.append(row_at, len(ids))
         for_empty = np.flatnonzero(size == 0)
         for i in for_empty[::-1]:
             full[i] = full[i + 1]
         return ids, full
 
-    def _learn(self, distinct: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> None:
-        if len(self.keys) + len(distinct) > CACHE_PARTS:
-            self.reset()
-        new = np.ones(len(distinct), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] != distinct
-        if not new.any():
-            return
-        at = first[new]
-        joined = points.astype("<u4").tobytes()
-        ids = self.model.encode_parts([joined[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        had = len(self.offset) - 1
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for one in ids for x in one), np.int32, int(lengths.sum()))])
-        place = np.searchsorted(self.keys, distinct[new])
-        self.slot = np.insert(self.slot, place, np.arange(had, had + len(ids)))
-        self.keys = np.insert(self.keys, place, distinct[new])
-
 
 def decode_bytes(model: Model, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts of the rows; the dummy prefix is dropped."""

@@ -102,6 +102,16 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return h
 
 
+def poly_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of the bytes of each span from prefix sums: a few operations a byte, however long the spans."""
+    draw = np.random.default_rng(seed).integers(0, 1 << 64, 257, dtype=np.uint64)
+    base = int(draw[256]) | 1
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(draw[data] * powers(base, len(data)))])
+        inverse = powers(pow(base, -1, 1 << 64), len(data) + 1)
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
+
+
 class Words:
     """Maximal runs of bytes outside ``breaks``; no run crosses two documents.
 
@@ -218,5 +228,60 @@ def min_hashes(values: np.ndarray, starts: np.ndarray, mults: np.ndarray) -> np.
     return out.T
 
 
+class PartCache:
+    """Ids of parts of text by hash, kept between batches: each distinct part is encoded once while it is kept.
+
+    A direct-address table finds most parts in one step; only those it lacks are
+    sorted out and encoded. Parts whose places collide displace each other, and
+    all are forgotten beyond ``limit``: both cost time alone.
+    """
+
+    BITS = 22
+
+    def __init__(self, encode, limit: int = 1_000_000):
+        self.encode, self.limit = encode, limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.key = np.zeros(1 << self.BITS, U64)
+        self.slot = np.zeros(1 << self.BITS, np.int32)
+        self.flat = np.zeros(1 << 20, np.int32)
+        self.offset = np.zeros(1 << 18, np.int64)
+        self.n = 0
+
+    def ids(self, h: np.ndarray, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, where each part's begin, with the end). texts(indices) gives the parts there."""
+        h = np.maximum(h, U64(1))
+        if self.n > self.limit:
+            self.reset()
+        place = (h >> U64(64 - self.BITS)).astype(np.int64)
+        slot = self.slot[place]
+        lost = np.flatnonzero(self.key[place] != h)
+        if len(lost):
+            _, first, back = np.unique(h[lost], return_index=True, return_inverse=True)
+            first = lost[first]
+            new = np.arange(self.n, self.n + len(first), dtype=np.int32)
+            self._add(self.encode(texts(first)))
+            slot[lost] = new[back]
+            self.key[place[first]], self.slot[place[first]] = h[first], new
+        at = self.offset[slot]
+        count = self.offset[slot + 1] - at
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(at - (ends - count), count)]
+        return ids, np.concatenate([np.zeros(1, np.int64), ends])
+
+    def _add(self, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        had, more = int(self.offset[self.n]), int(size.sum())
+        if had + more > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(had + more, np.int32)])
+        if self.n + len(ids) + 1 > len(self.offset):
+            self.offset = np.concatenate([self.offset, np.zeros(self.n + len(ids) + 1, np.int64)])
+        self.flat[had : had + more] = np.fromiter((x for one in ids for x in one), np.int32, more)
+        self.offset[self.n + 1 : self.n + len(ids) + 1] = had + np.cumsum(size)
+        self.n += len(ids)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
