@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "sigloom", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -27,3 +29,20 @@ def get_session(app: str = "sigloom", cpus: int | None = None, shuffle_partition
 def read(spark: SparkSession, sf_dir: str, table: str):
     """A driver table by name."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sigloom-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
+#: A side of a join is broadcast if it has no more rows than this.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint where the known number of rows allows it; else the join shuffles."""
+    return F.broadcast(df) if rows <= limit else df
