@@ -29,3 +29,8 @@ def to_double_or_zero(x: Column | str) -> Column:
 def bool_to_double(x: Column | str) -> Column:
     """Booleans count as 1 and 0."""
     return F.when(col(x).cast("boolean"), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -93,7 +93,7 @@ def _jaro(s: Column, t: Column) -> Column:
     def finish(acc: Column) -> Column:
         k = F.size(acc["used"]).cast("double")
         other = F.transform(F.array_sort(acc["used"]), lambda j: F.substring(t, j, F.lit(1)))
-        moved = F.size(F.filter(F.zip_with(acc["chars"], other, lambda x, y: x != y), lambda d: d)) / 2.0
+        moved = F.floor(F.size(F.filter(F.zip_with(acc["chars"], other, lambda x, y: x != y), lambda d: d)) / 2)
         return F.when(k == 0, 0.0).otherwise((k / n + k / m + (k - moved) / k) / 3.0)
 
     body = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, finish)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["retrieval", "reducing", "shaping", "patterns"]
+MODULES: list[str] = ["retrieval", "reducing", "shaping", "patterns", "texts", "profiling", "analytics", "media", "graph"]
 
 
 def load_all() -> None:

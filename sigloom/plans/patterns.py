@@ -121,7 +121,7 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bimodal",
-    f"WITH {_HIST} SELECT event_type, count_if(p) AS peaks, count_if(p) >= 2 AS bimodal FROM (SELECT event_type, n > lag(n) OVER w AND n > lead(n) OVER w AS p FROM h WINDOW w AS (PARTITION BY event_type ORDER BY bin)) GROUP BY event_type",
+    f"WITH {_HIST} SELECT event_type, CAST(count_if(p) AS BIGINT) AS peaks, count_if(p) >= 2 AS bimodal FROM (SELECT event_type, n > lag(n) OVER w AND n > lead(n) OVER w AS p FROM h WINDOW w AS (PARTITION BY event_type ORDER BY bin)) GROUP BY event_type",
 )
 def bimodal(spark: SparkSession, sf: str) -> DataFrame:
     return wn.is_bimodal(wn.histogram(read(spark, sf, "events"), "value", 0.0, 500.0, 16, ["event_type"]), ["event_type"])
