@@ -34,6 +34,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session asks for other than Spark's default.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes: the default, 10,000 rows or 64 MB, is meant for narrow rows, not for documents.
+
+    Each running task holds a batch in the JVM, on its way and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges; root is the least node of its component.
 

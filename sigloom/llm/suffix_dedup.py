@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
-from sigloom.llm.graph import checkpoint, release
+from sigloom.llm.graph import checkpoint, release, small_batches
 
 MIN_WORDS = 50
 GRAM = 10
 #: Windows of anchors: any MIN_WORDS words hold this many grams.
 REACH = MIN_WORDS - GRAM + 1
 #: Words a kernel call handles at once, whole groups at least.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _NULL_ID = -(1 << 63)
 
 
@@ -221,61 +221,124 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, data = tk.buffers(t["words"])
         h = data.view(np.uint64)
         bound = offsets // 8
-        size = np.diff(bound)
         did, th, total = (t[c].to_numpy() for c in ("did", "th", "total"))
-        lo = t["lo"].to_numpy().astype(np.int64)
-        # a separator after each snippet, unlike all else, ends every match
-        _, dense = np.unique(h, return_inverse=True)
-        n = len(size)
-        begin = bound[:-1] + np.arange(n)
-        symbols = np.empty(len(h) + n, np.int64)
-        at = np.arange(len(h)) + np.repeat(np.arange(n), size)
-        symbols[at] = dense + n
-        symbols[begin + size] = np.arange(n)
-        row = np.repeat(np.arange(n), size + 1)
-        place = lo[row] + np.arange(len(symbols)) - begin[row]
+        lo, size = t["lo"].to_numpy().astype(np.int64), np.diff(bound)
         _, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
-        position = rank[row] * (int(place.max()) + 1) + place
-        ends = (begin + size)[row]
-        length, source = longest_previous(symbols, position, ends, MIN_WORDS)
+        # of equal snippets the first speaks for all: the others are matches from end to end
+        one = tk.row_hash(h, bound[:-1], bound[1:])
+        order = np.lexsort((lo, rank, one))
+        new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = (rank[order] != rank[lead]) | (lo[order] != lo[lead])
+        later &= size[order] >= MIN_WORDS
+        copies, firsts = order[later], lead[later]
+        rows = np.sort(order[new])
+        n = len(rows)
+        size_ = size[rows]
+        at = np.cumsum(size_) - size_
+        picked = h[np.arange(size_.sum()) + np.repeat(bound[rows] - at, size_)]
+        # a separator after each snippet, unlike all else, ends every match
+        _, dense = np.unique(picked, return_inverse=True)
+        begin = at + np.arange(n)
+        symbols = np.empty(len(picked) + n, np.int64)
+        symbols[np.arange(len(picked)) + np.repeat(np.arange(n), size_)] = dense + n
+        symbols[begin + size_] = np.arange(n)
+        owner = np.repeat(np.arange(n), size_ + 1)
+        place = lo[rows][owner] + np.arange(len(symbols)) - begin[owner]
+        position = rank[rows][owner] * (int(place.max()) + 1) + place
+        length, source = longest_previous(symbols, position, (begin + size_)[owner], MIN_WORDS)
         hit = np.flatnonzero(length >= MIN_WORDS)
-        from_, to = row[hit], row[source[hit]]
-        d, a, k, s, b = rank[from_], place[hit], length[hit], rank[to], place[source[hit]]
-        order = np.lexsort((-k, a, d))
-        first = order[np.concatenate([[True], (np.diff(d[order]) != 0) | (np.diff(a[order]) != 0)])] if len(order) else order
-        d, a, k, s, b, from_, to = (c[first] for c in (d, a, k, s, b, from_, to))
+        from_, to = rows[owner[hit]], rows[owner[source[hit]]]
+        a, k, b = place[hit], length[hit], place[source[hit]]
+        order = np.lexsort((-k, a, rank[from_]))
+        from_, to, a, k, b = (c[order] for c in (from_, to, a, k, b))
+        d = rank[from_]
+        best = np.ones(len(d), bool)
+        best[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
+        from_, to, a, k, b, d = (c[best] for c in (from_, to, a, k, b, d))
+        s = rank[to]
         # neighbouring starts with one source are one match
         new = np.ones(len(d), bool)
         new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
         heads = np.flatnonzero(new)
         reach = np.maximum.reduceat(a + k, heads) if len(heads) else a
-        f, g = from_[heads], to[heads]
-        cols = (did[f], th[f], total[f], a[heads].astype(np.int32), (reach - a[heads]).astype(np.int32), did[g], b[heads].astype(np.int32))
+        from_, to = np.concatenate([from_[heads], copies]), np.concatenate([to[heads], firsts])
+        start, source_at = np.concatenate([a[heads], lo[copies]]), np.concatenate([b[heads], lo[firsts]])
+        span = np.concatenate([reach - a[heads], size[copies]])
+        cols = (did[from_], th[from_], total[from_], start.astype(np.int32), span.astype(np.int32), did[to], source_at.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["did", "th", "total", "start", "n", "src", "src_at"])
 
-    words = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    words, hot, hot_key = 0, None, None
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         keys = batch["h"].to_numpy()
+        if hot is not None:
+            n = int(np.searchsorted(keys, hot_key, "right"))
+            if n:
+                yield hot.feed(batch.slice(0, n))
+            if n == len(keys):
+                continue
+            hot, batch, keys = None, batch.slice(n), keys[n:]
         held.append(batch)
         words += batch["words"].nbytes // 8
         if words < _BLOCK:
             continue
         last = int(np.searchsorted(keys, keys[-1]))
-        if last:
+        if last or held[0]["h"][0].as_py() != keys[-1]:
             held[-1] = batch.slice(0, last)
             yield flush(held)
             held = [batch.slice(last)]
+            words = held[0]["words"].nbytes // 8
         else:
-            # one anchor fills the block: its distinct snippets (the first of equal ones) say all of it to the rest
-            yield flush(held)
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            t = t.slice(int(np.searchsorted(t["h"].to_numpy(), keys[-1])))
-            held = [t.take(pa.array(np.sort(t["words"].dictionary_encode().indices.to_pandas().drop_duplicates().index)))]
-        words = held[0]["words"].nbytes // 8
+            hot, hot_key = _Hot(), keys[-1]
+            for part in held:
+                yield hot.feed(part)
+            held, words = [], 0
     if held:
         yield flush(held)
+    del held
+    tk.give_back()
+
+
+class _Hot:
+    """The snippets of an anchor that fill more than a block, a slice at a time, in order of the corpus.
+
+    Instead of a suffix array over them all, the first place of each window of
+    MIN_WORDS words is kept by hash: a window has an earlier match of that
+    length exactly if it is among them. Work grows with the snippets alone.
+    """
+
+    def __init__(self):
+        self.seen = np.zeros(0, np.uint64)
+        self.where = np.zeros((0, 3), np.int64)  # did, th, place
+
+    def feed(self, t: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, data = tk.buffers(t["words"])
+        h, bound = data.view(np.uint64), offsets // 8
+        size = np.diff(bound)
+        n = np.maximum(size - MIN_WORDS + 1, 0)
+        row = np.repeat(np.arange(len(size)), n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hashes = tk.row_hash(h, bound[row] + start, bound[row] + start + MIN_WORDS)
+        did, th, total = (t[c].to_numpy() for c in ("did", "th", "total"))
+        me = np.stack([did[row], th[row], t["lo"].to_numpy().astype(np.int64)[row] + start], axis=1)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        source = me[first]
+        at = np.minimum(np.searchsorted(self.seen, distinct), max(len(self.seen) - 1, 0))
+        known = self.seen[at] == distinct if len(self.seen) else np.zeros(len(distinct), bool)
+        source[known] = self.where[at[known]]
+        place = np.searchsorted(self.seen, distinct[~known])
+        self.where = np.insert(self.where, place, source[~known], axis=0)
+        self.seen = np.insert(self.seen, place, distinct[~known])
+        source = source[back]
+        hit = np.flatnonzero((source != me).any(axis=1))
+        r, mine, from_ = row[hit], me[hit], source[hit]
+        new = np.ones(len(hit), bool)
+        new[1:] = (r[1:] != r[:-1]) | (np.diff(mine[:, 2]) != 1) | (from_[1:, :2] != from_[:-1, :2]).any(axis=1) | (np.diff(from_[:, 2]) != 1)
+        heads = np.flatnonzero(new)
+        length = np.diff(np.append(heads, len(hit))) + MIN_WORDS - 1
+        r, mine, from_ = r[heads], mine[heads], from_[heads]
+        cols = (did[r], th[r], total[r], mine[:, 2].astype(np.int32), length.astype(np.int32), from_[:, 0], from_[:, 2].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["did", "th", "total", "start", "n", "src", "src_at"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -288,6 +351,7 @@ def spans(docs: DataFrame) -> DataFrame:
     th is xxhash64 of the text. A document whose words all stand in an earlier
     one is one span, its source the first such document.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     need = _numbered(docs)
     seen = need.mapInArrow(_survey, "doc_id long, th long, f1 long, f2 long, n int, h array<long>, at array<int>")

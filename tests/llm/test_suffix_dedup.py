@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigloom.llm import suffix_dedup as sd
@@ -74,15 +75,23 @@ def test_longest_previous_factor(seed):
             assert source[i] < i and (s[source[i] : source[i] + length[i]] == s[i : i + length[i]]).all()
 
 
-def test_hot_anchor_in_blocks(spark, monkeypatch):
-    rows = corpus(4)
-    p = " ".join(W[i % len(W)] for i in range(70))
-    rows += [(1000 + i, f"start{i} {p} end{i}") for i in range(200)]
-    monkeypatch.setattr(sd, "_BLOCK", 500)
-    parts = [b for b in sd._repeats(iter(spark.createDataFrame([], "h long, did long, th long, lo int, total int, words binary").toArrow().to_batches()))]
-    assert parts == []
-    got = {(r.doc_id, r.start_word, r.n_words, r.total_words) for r in sd.repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute(rows)
+def test_hot_anchor_in_blocks(monkeypatch):
+    """An anchor whose snippets fill many blocks: every later copy is found though no block holds all."""
+    r = np.random.default_rng(0)
+    base = r.integers(1, 1 << 60, 90)
+    rows = []
+    for d in range(300):
+        w = base.copy()
+        if d % 3:
+            w[: r.integers(0, 40)] = r.integers(1, 1 << 60)
+            w[90 - r.integers(1, 30) :] = r.integers(1, 1 << 60)
+        rows.append((7, d, 0, 0, 90, w.tobytes()))
+    names, kinds = ["h", "did", "th", "lo", "total", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    run = lambda: {(d, w) for b in sd._repeats(batch.slice(i, 20) for i in range(0, 300, 20)) for d, a, n in zip(*(b[c].to_pylist() for c in ("did", "start", "n"))) for w in range(a, a + n)}
+    whole = run()
+    monkeypatch.setattr(sd, "_BLOCK", 2000)
+    assert run() == whole and {d for d, _ in whole} >= set(range(3, 300, 3))
 
 
 def test_dedup_keeps_the_first_copy(spark):
