@@ -282,16 +282,16 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words += batch["words"].nbytes // 8
         if words < _BLOCK:
             continue
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last or held[0]["h"][0].as_py() != keys[-1]:
-            held[-1] = batch.slice(0, last)
-            yield flush(held)
-            held = [batch.slice(last)]
-            words = held[0]["words"].nbytes // 8
-        else:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        last = int(np.searchsorted(t["h"].to_numpy(), keys[-1]))
+        if last:
+            yield flush([t.slice(0, last)])
+            t = t.slice(last)
+        held, words = [t], t["words"].nbytes // 8
+        if words >= _BLOCK:
             hot, hot_key = _Hot(), keys[-1]
-            for part in held:
-                yield hot.feed(part)
+            for at in range(0, t.num_rows, 1024):
+                yield hot.feed(t.slice(at, 1024))
             held, words = [], 0
     if held:
         yield flush(held)

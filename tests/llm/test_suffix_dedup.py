@@ -86,9 +86,13 @@ def test_hot_anchor_in_blocks(monkeypatch):
             w[: r.integers(0, 40)] = r.integers(1, 1 << 60)
             w[90 - r.integers(1, 30) :] = r.integers(1, 1 << 60)
         rows.append((7, d, 0, 0, 90, w.tobytes()))
+    # other anchors before and after, so that blocks begin and end in the middle of the hot one
+    other = lambda h, n: [(h, d, 0, 0, 90, r.integers(1, 1 << 60, 90).tobytes()) for d in range(n)]
+    rows = other(5, 13) + other(6, 9) + rows + other(8, 3) + rows[:7]
+    rows[-7:] = [(9, *x[1:]) for x in rows[-7:]]
     names, kinds = ["h", "did", "th", "lo", "total", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-    run = lambda: {(d, w) for b in sd._repeats(batch.slice(i, 20) for i in range(0, 300, 20)) for d, a, n in zip(*(b[c].to_pylist() for c in ("did", "start", "n"))) for w in range(a, a + n)}
+    run = lambda: {(d, w) for b in sd._repeats(batch.slice(i, 20) for i in range(0, len(rows), 20)) for d, a, n in zip(*(b[c].to_pylist() for c in ("did", "start", "n"))) for w in range(a, a + n)}
     whole = run()
     monkeypatch.setattr(sd, "_BLOCK", 2000)
     assert run() == whole and {d for d, _ in whole} >= set(range(3, 300, 3))
