@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.graph import small_batches
 
 N = 8
 MIN_WORDS = 4
@@ -182,6 +183,7 @@ def _with(df: DataFrame) -> str:
 
 def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
     """docs with ``spans`` (null if clean) and ``total_words``; docs needs the column text only."""
+    small_batches(docs.sparkSession)
     grams = test_grams(benchmark)
     if grams.count() <= limit:
         bc = docs.sparkSession.sparkContext.broadcast(_lookup(grams.collect()))

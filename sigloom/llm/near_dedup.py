@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
-from sigloom.llm.graph import checkpoint, connected_components
+from sigloom.llm.graph import checkpoint, connected_components, small_batches
 
 N_HASH = 64
 BITS = 16
@@ -178,10 +178,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch.slice(last)]
     if held:
         yield flush(held)
+    del held
+    tk.give_back()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id) of each document in a group of two or more; group_id is the least doc_id of the group, the one to keep."""
+    small_batches(docs.sparkSession)
     signed = checkpoint(signatures(docs))
     first = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     equal = signed.join(first, "sig").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

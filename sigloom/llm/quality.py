@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.graph import small_batches
 
 KEEP = 0.5
 ROUNDS = 100
@@ -166,6 +167,7 @@ def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def posteriors(docs: DataFrame) -> dict[int, float]:
     """Posterior of each vote pattern in the corpus; from the counts over all documents."""
+    small_batches(docs.sparkSession)
     codes = docs.select("text").filter("text is not null").mapInArrow(_code_batches, "code int")
     rows = sorted((r["code"], r["n"]) for r in codes.filter(F.col("code") != NO_WORDS).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())
     seen = np.array([c for c, _ in rows], np.int64)

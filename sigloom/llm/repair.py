@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.graph import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts text before merging.
@@ -215,6 +216,7 @@ _kept: dict[str, Tokenizer] = {}
 
 def shards(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row a shard: its documents, how many ids each has, and the grammar that gives them."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _kept:

@@ -42,11 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.graph import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Bytes of text encoded at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _TABLE = 0x3000  # characters below have a place in the table of joinable pairs
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -363,6 +364,7 @@ _kept: dict[str, Encoder] = {}
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """docs with ``piece_ids`` and ``exact`` (whether decoding gives the text back); columns of these names give way."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "piece_ids", "exact")]
     plain = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(1).alias("rest"), "text")
     schema = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
