@@ -13,8 +13,8 @@
 4. Distributed union-find joins the edges; the first occurrence in each
    component stays, its other lines go.
 
-Only hashes cross the network for lines without a candidate; texts are fetched
-for candidates alone, and documents without a removed line are not rebuilt.
+Only hashes cross the network for lines without a candidate; texts cross it as
+zstandard frames, and documents without a removed line are not rebuilt.
 
 Defined results: null and empty texts stay as they are; blank lines are never
 removed; lines shorter than a shingle are one shingle; a document that loses
@@ -33,21 +33,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigloom.llm import textkernel as tk
-from sigloom.llm.graph import checkpoint, connected_components, release
+from sigloom.llm.graph import checkpoint, connected_components, release, small_batches
 
 SHINGLE = 8
 BANDS = 8
 ROWS = 3
 THRESHOLD = 0.7
 _MULTS = tk.hash_params(BANDS * ROWS, 2)
-_SEED2 = np.uint64(0x51ED270B7A5C1D2F)
+#: Buckets up to this size are compared all with all at once; larger ones by search.
+_SMALL = 8
+#: Bytes of lines whose small buckets are compared at once.
+_BLOCK_BYTES = 1 << 19
+_TAG = 20  # bits for the number of a line or pair beside its shingle hashes
 
 
 def _mask_blank(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    seen = np.concatenate([np.zeros(1, np.int64), np.cumsum(~tk.IS_SPACE[data])])
-    return seen[end] > seen[start]
+    """Which lines aren't blank; lines are in order."""
+    out = np.zeros(len(start), bool)
+    some = np.flatnonzero(end > start)
+    if len(some):
+        # line breaks between the lines count as white space
+        out[some] = np.logical_or.reduceat(~tk.IS_SPACE[data], start[some])
+    return out
 
 
 def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +69,10 @@ def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
         h = points.astype(np.uint64) + np.uint64(1)
         base, width = np.uint64(0xC2B2AE3D27D4EB4F), 1
         while width < SHINGLE:
-            nxt = np.zeros(n, np.uint64)
-            nxt[: n - width] = h[width:]
-            h = h * base + nxt
+            wider = h * base
+            if width < n:
+                wider[:-width] += h[width:]
+            h = wider
             base = base * base
             width *= 2
     counts = np.maximum(b - a - SHINGLE + 1, 1)
@@ -81,16 +92,16 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, number, start, end = tk.line_spans(offsets, data)
         full = _mask_blank(data, start, end)
         doc, number, start, end = doc[full], number[full], start[full], end[full]
-        h1 = tk.hash_spans(data, start, end)
-        with np.errstate(over="ignore"):
-            h2 = np.zeros(len(h1), np.uint64)
-            mid = start + (end - start) // 2  # the halves apart: independent of h1
-            h2 = tk.mix(tk.hash_spans(data, mid, end) * _SEED2 + tk.hash_spans(data, start, mid))
+        h1 = tk.poly_spans(data, start, end, 11)
+        h2 = np.zeros(len(h1), np.uint64)
         low_off, low = tk.buffers(pc.utf8_lower(raw))
         _, _, ls, le = tk.line_spans(low_off, low)
         bands = np.zeros((len(h1), BANDS), np.uint64)
         if len(h1):
             values, starts = shingles(low, ls[full], le[full])
+            # a second hash beside the first, which tells places and capitals: the sum of the mixed shingles
+            with np.errstate(over="ignore"):
+                h2 = tk.mix(np.add.reduceat(values, starts) * np.uint64(0x9FB21C651E98DF25))
             sig = tk.min_hashes((values >> np.uint64(32)).astype(np.uint32), starts, _MULTS).reshape(-1, BANDS, ROWS)
             with np.errstate(over="ignore"):
                 bands[:] = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -115,7 +126,7 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of each document, in lower case; ``want`` holds (line, lid) pairs."""
-    for part in tk.chunks(batches):
+    for part in tk.unzip_column(batches):
         offsets, data = tk.buffers(pc.utf8_lower(part["text"]))
         doc, number, start, end = tk.line_spans(offsets, data)
         want = part["want"]
@@ -149,12 +160,24 @@ class _Sets:
             s = e - (end - start)
         values, starts = shingles(data, s, e)
         group = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(values))))
-        order = np.lexsort((values, group))
-        values, group = values[order], group[order]
-        new = np.concatenate([[True], (values[1:] != values[:-1]) | (group[1:] != group[:-1])])
-        values, group = values[new], group[new]
+        values >>= np.uint64(_TAG)  # 44 bits tell the shingles of two lines apart
+        if len(rows) < 1 << _TAG:
+            both = np.sort((group.astype(np.uint64) << np.uint64(64 - _TAG)) | values)
+            both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+            values, group = both & np.uint64((1 << (64 - _TAG)) - 1), (both >> np.uint64(64 - _TAG)).astype(np.int64)
+        else:
+            order = np.lexsort((values, group))
+            values, group = values[order], group[order]
+            new = np.concatenate([[True], (values[1:] != values[:-1]) | (group[1:] != group[:-1])])
+            values, group = values[new], group[new]
         return values, np.searchsorted(group, np.arange(len(rows) + 1))
 
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sets of some rows, at once."""
+        if self.kept:
+            return next(self.blocks(rows))
+        return (rows, *self._make(rows))
+
     def blocks(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if self.kept:
             values, bounds = self.kept
@@ -198,6 +221,47 @@ def bucket_edges(ids: np.ndarray, texts: pa.Array, threshold: float = THRESHOLD)
     return np.concatenate(a), np.concatenate(b)
 
 
+def small_edges(sizes: np.ndarray, cut: np.ndarray, ids: np.ndarray, texts: pa.Array, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All edges of the buckets of up to _SMALL lines, each pair of lines compared once."""
+    xs, ys = [], []
+    for n in range(2, _SMALL + 1):
+        heads = cut[sizes == n]
+        for i in range(n):
+            for j in range(i + 1, n):
+                xs.append(heads + i)
+                ys.append(heads + j)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    if not len(x):
+        return ids[:0], ids[:0]
+    one, two = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    _, pick = np.unique(np.stack([one, two], axis=1), axis=0, return_index=True)
+    x, y = x[pick], y[pick]
+    lines, back = np.unique(ids[np.concatenate([x, y])], return_inverse=True)
+    row = np.empty(len(lines), np.int64)
+    row[back] = np.concatenate([x, y])
+    sets = _Sets(texts.take(pa.array(row)))
+    p, q = back[: len(x)], back[len(x) :]
+    near = np.zeros(len(x), bool)
+    size = np.diff(sets.offsets)
+    weight = np.cumsum(size[p] + size[q])
+    block = np.unique(np.concatenate([[0], np.searchsorted(weight, np.arange(0, weight[-1], 1 << 19), "right"), np.arange(0, len(x), 1 << (_TAG - 1)), [len(x)]]))
+    for a, b in zip(block[:-1], block[1:]):
+        tag = np.arange(b - a)
+        both, count = [], []
+        for rows in (p[a:b], q[a:b]):
+            used, at = np.unique(rows, return_inverse=True)
+            _, values, bounds = sets.gather(used)
+            n = np.diff(bounds)[at]
+            ends = np.cumsum(n)
+            both.append((values[np.arange(ends[-1]) + np.repeat(bounds[at] - (ends - n), n)]) | (np.repeat(tag, n).astype(np.uint64) << np.uint64(64 - _TAG)))
+            count.append(n)
+        joined = np.sort(np.concatenate(both))
+        again = joined[1:][joined[1:] == joined[:-1]] >> np.uint64(64 - _TAG)
+        common = np.bincount(again.astype(np.int64), minlength=b - a)
+        near[a:b] = common >= threshold * (count[0] + count[1] - common) - 1e-9
+    return ids[x[near]], ids[y[near]]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a key's rows may run over several batches."""
     held: list[pa.RecordBatch] = []
@@ -205,8 +269,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         keys, ids = t["key"].to_numpy(), t["lid"].to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        found = [bucket_edges(ids[i:j], t["line"].slice(i, j - i)) for i, j in zip(cut[:-1], cut[1:])]
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(cut, len(keys)))
+        found = []
+        ends = np.cumsum(pc.binary_length(t["line"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        block = ends[cut + sizes - 1] // _BLOCK_BYTES
+        for b in np.unique(block):
+            own = block == b
+            found.append(small_edges(sizes[own], cut[own], ids, t["line"]))
+        big = sizes > _SMALL
+        found += [bucket_edges(ids[i : i + n], t["line"].slice(i, n)) for i, n in zip(cut[big], sizes[big])]
         pair = np.concatenate([np.stack(p, axis=1) for p in found])
         pair = np.unique(np.sort(pair, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
@@ -223,10 +295,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch.slice(last)]
     if held:
         yield flush(held)
+    del held
+    tk.give_back()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line) of every line to remove; th is xxhash64 of the document's text."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     need = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
     lines = need.mapInArrow(_lines, "h1 long, h2 long, doc_id long, th long, line int, bands binary")
@@ -250,7 +325,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     wanted = met.select("lid").distinct().join(heads.select("lid", "doc_id", "th", "line"), "lid")
     per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "lid")).alias("want"))
     at = per_doc.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
-    joined = need.join(at, need["doc_id"].eqNullSafe(at["w_id"]) & (need["th"] == at["w_th"])).select("text", "want")
+    packed = need.mapInArrow(tk.zip_column, "doc_id long, th long, z binary")
+    joined = packed.join(at, packed["doc_id"].eqNullSafe(at["w_id"]) & (packed["th"] == at["w_th"])).select("z", "want")
     line_text = joined.mapInArrow(_fetch, "lid long, line string").dropDuplicates(["lid"])
     rows = met.join(line_text, "lid").select("key", "lid", "line").repartition("key").sortWithinPartitions("key", "lid")
     edges = checkpoint(rows.mapInArrow(_verify, "a long, b long"))
@@ -263,7 +339,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in tk.chunks(batches):
+    for part in tk.unzip_column(batches):
         offsets, data = tk.buffers(part["text"])
         doc, number, start, end = tk.line_spans(offsets, data)
         full = _mask_blank(data, start, end)
@@ -290,8 +366,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("__g_id"), F.col("th").alias("__g_th"), "__gone")
     rest = [c for c in docs.columns if c != "text"]
     plain = docs.select(F.struct(*rest).alias("rest"), "text")
-    on = F.col("rest.doc_id").eqNullSafe(F.col("__g_id")) & (F.xxhash64("text") == F.col("__g_th"))
-    joined = plain.join(gone, on, "left").select("rest", "text", F.col("__gone").alias("gone"))
-    schema = joined.select("rest", "text").schema
+    schema = plain.schema
+    keyed = plain.withColumn("th", F.xxhash64("text"))
+    packed = keyed.mapInArrow(tk.zip_column, T.StructType([schema["rest"], T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType())]))
+    on = F.col("rest.doc_id").eqNullSafe(F.col("__g_id")) & (F.col("th") == F.col("__g_th"))
+    joined = packed.join(gone, on, "left").select("rest", "z", F.col("__gone").alias("gone"))
     out = joined.mapInArrow(_rebuild, schema)
     return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
