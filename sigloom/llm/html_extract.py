@@ -121,9 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from a sample of the labelled pages: those of the least hashes."""
-    marked = pages.select("html").filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    chosen = marked.orderBy(F.xxhash64("html"), "html").limit(sample)
+    """Weights from a sample of the labelled pages: those of the least hashes.
+
+    The hashes alone are sorted; the pages at or under the last one that counts
+    are then read where they are.
+    """
+    marked = pages.select("html", F.xxhash64("page_id", "html").alias("h")).filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+    last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = marked.filter(F.col("h") <= last if last is not None else F.lit(False)).select("html")
     rows = chosen.mapInArrow(_count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
     return weights({(r["kind"], r["inside"]): r["n"] for r in rows})
 
