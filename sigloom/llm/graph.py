@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = cur.select("u", "v").unionByName(cur.select(key("v").alias("u"), key("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(key("v").alias("u"), key("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(low, "u").select(key("v").alias("u"), key("m").alias("v")).filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(key("v").alias("u"), key("m").alias("v")).unionByName(low.select("u", key("m").alias("v"))).filter("u != v").distinct()
         cur = checkpoint(small)

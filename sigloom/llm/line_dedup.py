@@ -78,7 +78,10 @@ def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     counts = np.maximum(b - a - SHINGLE + 1, 1)
     starts = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) + np.repeat(a - starts, counts)
-    values = tk.mix(h[np.minimum(at, max(n - 1, 0))])
+    values = h[np.minimum(at, max(n - 1, 0))]
+    with np.errstate(over="ignore"):
+        values *= np.uint64(0xFF51AFD7ED558CCD)  # the upper bits are used, and those depend on all
+        values ^= values >> np.uint64(32)
     short = np.flatnonzero(b - a < SHINGLE)
     if len(short):
         values[starts[short]] = tk.hash_spans(data, start[short], end[short])
@@ -127,7 +130,7 @@ def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted lines of each document, in lower case; ``want`` holds (line, lid) pairs."""
     for part in tk.unzip_column(batches):
-        offsets, data = tk.buffers(pc.utf8_lower(part["text"]))
+        offsets, data = tk.buffers(part["text"])
         doc, number, start, end = tk.line_spans(offsets, data)
         want = part["want"]
         counts = pc.list_value_length(want).to_numpy(zero_copy_only=False)
@@ -135,7 +138,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(offsets) - 1), counts)
         at = np.searchsorted(doc, row) + flat.field("line").to_numpy()
         texts = [data[a:b].tobytes() for a, b in zip(start[at], end[at])]
-        yield pa.RecordBatch.from_arrays([flat.field("lid"), pa.array(texts, pa.binary()).cast(pa.string())], ["lid", "line"])
+        yield pa.RecordBatch.from_arrays([flat.field("lid"), pc.utf8_lower(pa.array(texts, pa.binary()).cast(pa.string()))], ["lid", "line"])
 
 
 _CACHE_BYTES = 1 << 25
@@ -306,9 +309,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     need = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
     lines = need.mapInArrow(_lines, "h1 long, h2 long, doc_id long, th long, line int, bands binary")
     place = F.struct("doc_id", "th", "line")
-    same = Window.partitionBy("h1", "h2")
-    marked = lines.withColumn("first", F.min(place).over(same)).withColumn("is_first", F.col("first") == place)
-    marked = marked.withColumn("lead", F.col("is_first") & (F.row_number().over(same.orderBy("doc_id", "th", "line")) == 1))
+    same = Window.partitionBy("h1", "h2").orderBy("doc_id", "th", "line")  # one sort for both
+    marked = lines.withColumn("first", F.first(place).over(same)).withColumn("is_first", F.col("first") == place)
+    marked = marked.withColumn("lead", F.row_number().over(same) == 1)
     marked = checkpoint(
         marked.filter("lead or not is_first").select("doc_id", "th", "line", F.when(F.col("lead"), F.col("bands")).alias("bands"), F.monotonically_increasing_id().alias("lid"))
     )
@@ -326,7 +329,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "lid")).alias("want"))
     at = per_doc.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
     packed = need.mapInArrow(tk.zip_column, "doc_id long, th long, z binary")
-    joined = packed.join(at, packed["doc_id"].eqNullSafe(at["w_id"]) & (packed["th"] == at["w_th"])).select("z", "want")
+    # the side of wanted lines is the small one of each partition: no sort of the texts
+    joined = packed.join(at.hint("shuffle_hash"), packed["doc_id"].eqNullSafe(at["w_id"]) & (packed["th"] == at["w_th"])).select("z", "want")
     line_text = joined.mapInArrow(_fetch, "lid long, line string").dropDuplicates(["lid"])
     rows = met.join(line_text, "lid").select("key", "lid", "line").repartition("key").sortWithinPartitions("key", "lid")
     edges = checkpoint(rows.mapInArrow(_verify, "a long, b long"))
@@ -370,6 +374,6 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     keyed = plain.withColumn("th", F.xxhash64("text"))
     packed = keyed.mapInArrow(tk.zip_column, T.StructType([schema["rest"], T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType())]))
     on = F.col("rest.doc_id").eqNullSafe(F.col("__g_id")) & (F.col("th") == F.col("__g_th"))
-    joined = packed.join(gone, on, "left").select("rest", "z", F.col("__gone").alias("gone"))
+    joined = packed.join(gone.hint("shuffle_hash"), on, "left").select("rest", "z", F.col("__gone").alias("gone"))
     out = joined.mapInArrow(_rebuild, schema)
     return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
