@@ -1,30 +1,36 @@
 """License scan by conditional compression.
 
-1. Every line that holds a licence word (``CUES``) begins a candidate block: the
-   run of such lines and the lines between them, at most ``GAP`` apart. The cue
-   test runs on whole texts in the JVM first, so other documents never leave it.
-2. A block is compressed alone and, for each template, with the template as
+1. Every licence word (``CUES``, which may be wrapped over two lines) is looked at
+   with ``CONTEXT`` words on its two sides, as many as the longest template that may
+   be confirmed has, whatever the lines and paragraphs: so a notice is met whole
+   however it is wrapped. The cue test runs on whole texts in the JVM first, so
+   other documents never leave it.
+2. Such a block is compressed alone and, for each template, with the template as
    zstandard raw dictionary. The reduction, 1 - (size with it) / (size alone), is
    the share of the block that the template explains; templates are ranked by it.
 3. The winners (all within ``NEAR_BEST`` of the best) are confirmed on words: the
-   template's required words must occur in order in the block, and the exact
-   wording differences (words missing from, and put into, the matched stretch)
-   are counted. The winner with the fewest differences is reported if they are at
-   most ``MAX_DIFF`` of the template's words; else the block has no licence.
+   template's words must occur in order in a stretch of the block, and the exact
+   wording differences (words missing from, and put into, the stretch) are counted.
+   The winner with the fewest differences is reported if they are at most
+   ``MAX_DIFF`` of the template's words; else the block has no licence. What is left
+   of the block beside the stretch is scanned again, and a line with a cue to which
+   nothing was found is tried alone.
 
 Defined results: null and empty texts have no block; of winners with equally few
 differences the longer template wins, then the greater reduction, then the name;
-a block of several lines also reports other licences of its single lines; rows
-are scanned one by one, so repeated rows repeat; null doc_ids are values like
-others; very long texts are read whole (a block is a stretch of lines, and a
-line may be as long as it likes). Extra columns are ignored. An empty table
-gives an empty result.
+each word belongs to one licence; lines with cues at most ``GAP`` apart are a group,
+which reports a licence once, with its first line (or the licence's, if that is
+earlier); the reduction is that of the licence's own lines (of its block, where a
+line is longer); rows are scanned one by one, so repeated rows repeat; null doc_ids
+are values like others; very long texts are read whole. Extra columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import difflib
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -34,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cues as an expression that Java and Python read alike; every template holds one.
-CUES = r"(?i)\b(licen[sc]e[sd]?|copyright|permission is hereby|redistribution and use|public domain|creative commons|spdx-license-identifier|warranty)\b|\bCC[ -](BY|0)\b"
+_S = r"[\s#*/;%-]+"  # between words, also over the end of a line and a comment's marker
+CUES = rf"(?i)\b(licen[sc]e[sd]?|copyright|permission{_S}is{_S}hereby|redistribution{_S}and{_S}use|public{_S}domain|creative{_S}commons|spdx-license-identifier|warranty)\b|\bCC[\s-](BY|0)\b"
 GAP = 2
 MIN_REDUCTION = 0.25
 NEAR_BEST = 0.15
@@ -74,6 +81,10 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+#: Words of the longest stretch that can be confirmed.
+CONTEXT = max(int(len(words(t)) * (1 + MAX_DIFF)) for t in TEMPLATES.values())
+
+
 @functools.lru_cache(maxsize=1)
 def _models() -> tuple:
     plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
@@ -84,89 +95,157 @@ def _models() -> tuple:
     return plain, each
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(number of its first line, text) of each candidate block."""
-    lines = text.split("\n")
-    out: list[tuple[int, str]] = []
-    first = last = None
-    for i, line in enumerate(lines):
-        if _CUE.search(line):
-            if last is not None and i - last > GAP:
-                out.append((first, "\n".join(lines[first : last + 1])))
-                first = None
-            first = i if first is None else first
-            last = i
-    if last is not None:
-        out.append((first, "\n".join(lines[first : last + 1])))
-    return out
+def _around(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch of text with CONTEXT words before start and after end."""
+    size = 16 * CONTEXT
+    while True:
+        a = max(0, start - size)
+        before = [m.start() for m in _WORD.finditer(text, a, start)]
+        if a == 0 or len(before) > CONTEXT:  # the first word may be half a one
+            break
+        size *= 2
+    after = [m.end() for m in itertools.islice(_WORD.finditer(text, end), CONTEXT)]
+    return before[-CONTEXT] if len(before) > CONTEXT else 0, after[-1] if len(after) == CONTEXT else len(text)
+
+
+def stretch(template: list[str], block: list[str]) -> tuple[int, int]:
+    """Where in the block the template stands: about the longest match, as far as it saves differences."""
+    whole = difflib.SequenceMatcher(None, template, block, autojunk=False).find_longest_match()
+    if not whole.size:
+        return 0, 0
+    # no stretch that can be confirmed goes further
+    slack = int(MAX_DIFF * len(template))
+    first = max(0, whole.b - whole.a - slack)
+    found = difflib.SequenceMatcher(None, template, block[first : whole.b + len(template) - whole.a + slack], autojunk=False).get_matching_blocks()[:-1]
+    best, lo, hi = 0, 0, 0
+    gain, start, end = 0, 0, 0
+    for m in found:
+        # a match saves its words twice, as missing and as added ones; the words before it are added
+        if gain <= m.b - end:
+            gain, start = 0, m.b
+        else:
+            gain -= m.b - end
+        gain, end = gain + 2 * m.size, m.b + m.size
+        if gain > best:
+            best, lo, hi = gain, start, end
+    return first + lo, first + hi
 
 
 def differences(template: list[str], block: list[str]) -> tuple[int, int, str]:
-    """(missing, added, exact differences) between a template and the stretch of the block that it matches."""
-    found = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()[:-1]
-    if not found:
-        return len(template), 0, ""
-    lo, hi = found[0].b, found[-1].b + found[-1].size
-    stretch = block[lo:hi]
+    """(missing, added, exact differences) between a template and a stretch of a block."""
     missing, added, notes = 0, 0, []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, template, stretch, autojunk=False).get_opcodes():
+    for op, a, b, c, d in difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes():
         if op != "equal":
             missing += b - a
             added += d - c
-            notes.append(f"-[{' '.join(template[a:b])}] +[{' '.join(stretch[c:d])}]")
+            notes.append(f"-[{' '.join(template[a:b])}] +[{' '.join(block[c:d])}]")
     return missing, added, "; ".join(notes)
 
 
-def identify(block: str) -> tuple[str, float, int, int, str] | None:
-    """(template, reduction, missing, added, differences) of the best template of a block, or None."""
+def _reductions(block: str) -> dict[str, float]:
     plain, each = _models()
     raw = block.encode()
     alone = len(plain.compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, name, tw) for name, tw, c in each), key=lambda x: (-x[0], x[1]))
-    best = ranked[0][0]
-    if best < MIN_REDUCTION:
-        # a short notice in a long line: what it saves is small beside the rest; the words decide among all
-        near = ranked
-    else:
-        near = [r for r in ranked if r[0] >= best - NEAR_BEST]
-    have = words(block)
+    return {name: 1 - len(c.compress(raw)) / alone for name, _, c in each}
+
+
+@functools.lru_cache(maxsize=20_000)
+def place(block: str) -> tuple[tuple[str, float, int, int, str], tuple[int, int], tuple[int, int]] | None:
+    """(template, reduction, missing, added, differences) of the best template of a block, where it stands, and
+    where it and the other confirmed ones that it overlaps do; or None."""
+    spans = [m.span() for m in _WORD.finditer(block)]
+    have = [block[a:b].lower() for a, b in spans]
     seen = set(have)
-    found = []
-    for reduction, name, tw in near:
+    confirmed = []
+    for name, tw, _ in _models()[1]:
         if len(seen.intersection(tw)) < (1 - MAX_DIFF) * len(set(tw)):
             continue
-        missing, added, notes = differences(tw, have)
+        lo, hi = stretch(tw, have)
+        missing, added, notes = differences(tw, have[lo:hi])
         if missing + added <= MAX_DIFF * len(tw):
-            found.append((missing + added, -len(tw), -reduction, name, missing, added, notes))
+            confirmed.append((missing + added, -len(tw), name, missing, added, notes, lo, hi))
+    if not confirmed:
+        return None
+    reduction = _reductions(block)
+    best = max(reduction.values())
+    # a short notice among much else: what it saves is small beside the rest; the words decide among all
+    least = best - NEAR_BEST if best >= MIN_REDUCTION else -1e9
+    found = [(n, size, -reduction[name], name, *rest) for n, size, name, *rest in confirmed if reduction[name] >= least]
     if not found:
         return None
-    _, _, reduction, name, missing, added, notes = min(found)
-    return name, round(-reduction, 4), missing, added, notes
+    _, _, _, name, missing, added, notes, lo, hi = min(found)
+    over = [c[-2:] for c in confirmed if c[-2] < hi and c[-1] > lo]
+    a, b = spans[lo][0], spans[hi - 1][1]
+    end = block.find("\n", b)
+    own = block[block.rfind("\n", 0, a) + 1 : end if end >= 0 else len(block)]
+    hull = spans[min(x for x, _ in over)][0], spans[max(y for _, y in over) - 1][1]
+    return (name, round(_reductions(own)[name], 4), missing, added, notes), (a, b), hull
+
 
+def identify(block: str) -> tuple[str, float, int, int, str] | None:
+    """(template, reduction, missing, added, differences) of the best template of a block, or None."""
+    found = place(block)
+    return found and found[0]
 
-def identify_all(block: str) -> list[tuple[str, float, int, int, str]]:
-    """The block's licence, and those of its single lines that carry another one."""
-    whole = identify(block)
-    found = {whole[0]: whole} if whole else {}
-    if "\n" in block:
-        for line in block.split("\n"):
-            one = identify(line) if _CUE.search(line) else None
-            if one:
-                found.setdefault(one[0], one)
-    return list(found.values())
+
+def _free(a: int, b: int, used: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a..b is not used; used is in order."""
+    out = []
+    for x, y in used:
+        if y > a and x < b:
+            out.append((a, x))
+            a = y
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
+
+
+def identify_all(text: str) -> list[tuple[int, str, float, int, int, str]]:
+    """(line, template, reduction, missing, added, differences) of every licence of a text."""
+    out: list[tuple[int, str, float, int, int, str]] = []
+    used: list[tuple[int, int]] = []  # stretches of licences
+    names: set[str] = set()  # of the group
+    group = last = None
+    line = at = 0
+    for cue in _CUE.finditer(text):
+        line += text.count("\n", at, cue.start())
+        at = cue.start()
+        if last is None or line - last > GAP:
+            group, names = line, set()
+        last = line + text.count("\n", cue.start(), cue.end())
+        lo, hi = _around(text, *cue.span())
+        near = [u for u in used if u[1] > lo] if used else used
+        parts, tried = _free(lo, hi, near), False
+        while parts:
+            a, b = parts.pop()
+            if a > cue.start() or b < cue.end():
+                continue
+            found = place(text[a:b])
+            if not found:
+                if tried:
+                    break
+                # the line alone
+                tried = True
+                end = text.find("\n", cue.end())
+                parts.append((max(a, text.rfind("\n", 0, cue.start()) + 1), min(b, end if end >= 0 else b)))
+                continue
+            one, (x, y), (p, q) = found
+            p, q = a + p, a + q
+            if a + x < cue.end() and a + y > cue.start():
+                used = sorted([*near, (p, q)])
+                if one[0] not in names:
+                    names.add(one[0])
+                    out.append((min(group, line - text.count("\n", a + x, cue.start())), *one))
+                break
+            if p < cue.end() and q > cue.start():
+                p, q = a + x, a + y
+            parts += [(a, p), (q, b)]
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[tuple]] = {}
     for batch in batches:
         rows = []
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            for line, block in blocks(text):
-                if block not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[block] = identify_all(block)
-                rows += [(doc, line, *one) for one in known[block]]
+            rows += [(doc, *one) for one in identify_all(text)]
         cols = list(zip(*rows)) if rows else [[]] * 7
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "line", "license", "reduction", "missing", "added", "differences"])

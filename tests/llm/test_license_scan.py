@@ -1,3 +1,5 @@
+import textwrap
+
 from sigloom.llm import license_scan as ls
 
 
@@ -43,3 +45,15 @@ def test_rows_of_all_sorts(spark):
     want = [(3, 1, "Apache-2.0")] * 2 + [(None, 0, "MIT"), (5, 1, "GPL-3.0"), (6, 0, "Apache-2.0"), (6, 0, "CC-BY-4.0"), (8, 0, "MIT")]
     assert got == sorted(want, key=str)
     assert ls.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices_are_found_whole():
+    for name, text in ls.TEMPLATES.items():
+        for mark in ("", "# "):
+            lines = "\n".join(mark + x for x in textwrap.wrap(text, 80))
+            assert [x[:2] + x[3:] for x in ls.identify_all(f"Prose before it.\n{lines}\nProse after it.")] == [(1, name, 0, 0, "")]
+    both = "\n\n".join("\n".join(textwrap.wrap(ls.TEMPLATES[n], 80)) for n in ("MIT-text", "GPL-notice", "BSD-3-Clause"))
+    assert [x[1] for x in ls.identify_all(both)] == ["MIT-text", "GPL-notice", "BSD-3-Clause"]
+    paragraphs = ls.TEMPLATES["MIT-text"].replace("conditions: ", "conditions:\n\n")
+    assert [x[1] for x in ls.identify_all(paragraphs)] == ["MIT-text"]
+    assert [x[:2] for x in ls.identify_all("Released into the public domain.\nThis is free and unencumbered software released into the public\ndomain.")][-1][1] == "Unlicense"
