@@ -7,7 +7,10 @@ text meets only those that share a rare gram, and every meeting is verified.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import text as tx
@@ -65,6 +68,90 @@ def levenshtein_pairs(df: DataFrame, threshold: float = 0.85, q: int = 2) -> Dat
     return pairs.select("a", "b", tx.levenshtein_similarity("s", "t").alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
 
 
+def _verified(met: DataFrame, df: DataFrame, sim: Callable[[Column, Column], Column], threshold: float) -> DataFrame:
+    """(a, b, similarity, back) of pairs (a, b): of the later text to the earlier one, and the other way; either is at or over the threshold."""
+    x, y = df.select(F.col("seq").alias("a"), F.col("text").alias("s")), df.select(F.col("seq").alias("b"), F.col("text").alias("t"))
+    both = met.join(x, "a").join(y, "b").select("a", "b", sim(F.col("t"), F.col("s")).alias("similarity"), sim(F.col("s"), F.col("t")).alias("back"))
+    return both.filter(F.greatest("similarity", "back") >= threshold - 1e-12)
+
+
+def cosine_pairs(df: DataFrame, threshold: float = 0.85, n: int = 2) -> DataFrame:
+    """(a, b, similarity, back), a < b: all pairs with a cosine of n-gram counts at or over the threshold.
+
+    What two texts share from their first common gram on, in order of rarity,
+    is their whole product: so that gram stands where the rest of each text is
+    still as long, as a vector, as the threshold.
+    """
+    low = df.select("seq", F.lower("text").alias("text"))
+    rows = low.select("seq", F.explode(tx.grams("text", n)).alias("g")).groupBy("seq", "g").agg((F.count(F.lit(1)) ** 2).alias("w"))
+    freq = rows.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    own = Window.partitionBy("seq")
+    rest = F.sum("w").over(own.orderBy(F.col("f").desc(), F.col("g").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = rows.join(freq, "g").select("seq", "g", rest.alias("rest"), F.sum("w").over(own).alias("all")).filter(F.col("rest") >= threshold**2 * F.col("all") - 1e-6)
+    short = low.filter(F.length("text") < n).select("seq", F.col("text").alias("g"))
+    keys = prefix.select("seq", "g").unionByName(short)
+    x, y = keys.alias("x"), keys.alias("y")
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.seq") < F.col("y.seq"))).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct()
+    return _verified(met, low, lambda s, t: tx.ngram_cosine(s, t, n), threshold)
+
+
+BAG = 32
+
+
+def _within(df: DataFrame, ratio: float, bound: Callable[[Column, Column], Column], threshold: float) -> DataFrame:
+    """(a, b), a < b, of the texts whose lengths are within the ratio and whose bound reaches the threshold.
+
+    The bound is of the greatest Jaro-Winkler and Levenshtein similarities that
+    lengths, letters in common (counted in BAG classes, so rather too many) and
+    the common prefix allow.
+    """
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c) % BAG)
+    bag = F.transform(F.sequence(F.lit(0), F.lit(BAG - 1)), lambda i: F.size(F.filter("codes", lambda c: c == i)))
+    step = -math.log(max(ratio * 0.999, 1e-6))
+    band = F.floor(F.log(F.col("n").cast("double")) / step)
+    rows = df.select("seq", F.substring("text", 1, 4).alias("head"), F.length("text").alias("n"), codes.alias("codes")).filter("n > 0").select("seq", "head", "n", bag.alias("bag"), band.alias("band"))
+    x, y = rows.alias("x"), rows.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.seq") < F.col("y.seq")))
+    n, k = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    common = F.least(n, F.aggregate(F.zip_with("x.bag", "y.bag", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b))
+    same = sum((F.substring("x.head", 1, i) == F.substring("y.head", 1, i)).cast("int") * (n >= i).cast("int") for i in range(1, 5))
+    j = (common / n + common / k + 1) / 3
+    return met.filter((n >= ratio * k - 1e-9) & (bound(j + 0.1 * same * (1 - j), common / k) >= threshold - 1e-9)).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+
+
+def jaro_winkler_pairs(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity, back), a < b: all pairs of texts that aren't empty with a Jaro-Winkler similarity at or over the threshold.
+
+    It is .8 + .2 of the ratio of lengths at most. No two texts of one band of
+    lengths are left out unmet, so work grows with the square of such a band.
+    """
+    low = df.select("seq", F.lower("text").alias("text"))
+    return _verified(_within(low, max(0.0, (threshold - 0.8) / 0.2), lambda jw, lev: jw, threshold), low, tx.jaro_winkler, threshold)
+
+
+def _containing(df: DataFrame) -> DataFrame:
+    """(a, b), a < b, where one text holds the other: they meet on the rarest bigram of the shorter (its letter, if it has one only)."""
+    chars = df.select("seq", F.explode(F.array_distinct(F.concat(tx.grams("text", 2), tx.grams("text", 1)))).alias("g"))
+    freq = chars.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    rarest = chars.join(freq, "g").groupBy("seq").agg(F.min_by("g", F.struct(-F.length("g"), "f", "g")).alias("g"))
+    x, y = rarest.join(df, "seq").alias("x"), chars.join(df, "seq").alias("y")
+    met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.seq") != F.col("y.seq"))).filter(F.contains("y.text", "x.text"))
+    return met.select(F.least("x.seq", "y.seq").alias("a"), F.greatest("x.seq", "y.seq").alias("b"))
+
+
+def combined_pairs(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity, back), a < b: all pairs with a combined similarity at or over the threshold; blank texts have none.
+
+    Without containment it is .6 + .4 of the ratio of lengths at most. No two
+    texts of one band of lengths are left out unmet, as for Jaro-Winkler.
+    """
+    low = df.select("seq", F.trim(F.lower("text")).alias("text")).filter("text <> ''")
+    met = _within(low, max(0.0, (threshold - 0.6) / 0.4), lambda jw, lev: 0.5 * jw + 0.3 * lev + 0.2, threshold)
+    if threshold <= 0.9:
+        met = met.unionByName(_containing(low)).distinct()
+    return _verified(met, low, lambda s, t: tx.combined_similarity(s, t, norm=False), threshold)
+
+
 def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(seq, leader): first-seen leader clustering, as reading the texts in order would give it.
 
@@ -86,14 +173,31 @@ def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return led.join(best, led["seq"] == best["v"], "left").select("seq", F.when(F.col("s") == 1, F.col("seq")).otherwise(F.col("leader")).alias("leader"))
 
 
-def leader_dedup(df: DataFrame, threshold: float = 0.85, algorithm: str = "jaccard") -> DataFrame:
-    """(seq, leader) of each text that isn't blank; df: (seq, text). Equal texts are joined first."""
+PAIRS = {"combined": combined_pairs, "jaro": jaro_winkler_pairs, "jarowinkler": jaro_winkler_pairs, "levenshtein": levenshtein_pairs, "ngram": cosine_pairs, "jaccard": jaccard_pairs}
+
+
+def leader_dedup(df: DataFrame, threshold: float = 0.85, algorithm: str = "combined") -> DataFrame:
+    """(seq, leader) of each text that isn't blank; df: (seq, text).
+
+    Pairs and leaders are found over distinct texts, for a copy never leads. It
+    follows its first one if that leads, else the most similar leader before
+    itself, which may have come after the first one.
+    """
     some = df.filter(F.trim("text") != "").select("seq", "text")
     first = some.groupBy("text").agg(F.min("seq").alias("rep"))
-    reps = first.select(F.col("rep").alias("seq"), "text")
-    pairs = {"jaccard": jaccard_pairs, "ngram": jaccard_pairs, "levenshtein": levenshtein_pairs}[algorithm.replace("-", "")](reps, threshold)
-    lead = leaders(reps, pairs).select(F.col("seq").alias("rep"), "leader")
-    return some.join(first, "text").join(lead, "rep").select("seq", "leader")
+    reps = checkpoint(first.select(F.col("rep").alias("seq"), "text"))
+    pairs = PAIRS[algorithm.replace("-", "")](reps, threshold)
+    pairs = checkpoint(pairs if "back" in pairs.columns else pairs.withColumn("back", F.col("similarity")))
+    lead = checkpoint(leaders(reps, pairs.filter(F.col("similarity") >= threshold - 1e-12).drop("back")).select(F.col("seq").alias("rep"), "leader"))
+    rows = some.join(first, "text").join(lead, "rep").select("seq", "rep", "leader")
+    # leaders that came after the first copy
+    later = pairs.filter(F.col("back") >= threshold - 1e-12).join(lead.filter("rep = leader").select(F.col("rep").alias("b")), "b")
+    now = pairs.select(F.col("b").alias("rep"), F.col("a").alias("leader"), F.col("similarity").alias("had"))
+    after = later.select(F.col("a").alias("rep"), F.col("b").alias("other"), "back")
+    copies = rows.filter((F.col("seq") != F.col("rep")) & (F.col("leader") != F.col("rep"))).join(now, ["rep", "leader"]).join(after, "rep")
+    better = copies.filter((F.col("other") < F.col("seq")) & ((F.col("back") > F.col("had")) | ((F.col("back") == F.col("had")) & (F.col("other") < F.col("leader")))))
+    better = better.groupBy("seq").agg(F.max_by("other", F.struct(F.col("back"), -F.col("other"))).alias("better"))
+    return rows.join(better, "seq", "left").select("seq", F.coalesce("better", "leader").alias("leader"))
 
 
 def clusters(led: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Literal cases and small models of the operators that have no SQL."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,3 +279,68 @@ def test_table_from_boxes(spark):
     r = one(spark, *[pf.column_name(F.lit(x)) for x in ("Unit price", "2nd-col", "%%", "_x_")])
     assert tuple(r) == ("Unit_price", "Col_2nd_col", "Column", "x")
     assert one(spark, pf.to_csv_line(F.lit('a"b'), F.lit(None), F.lit("c,d"), F.lit("e")))[0] == '"a""b",,"c,d",e'
+
+
+def _lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def _jaro_winkler(a, b):
+    reach, used, hits = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if j not in used and b[j] == x:
+                used.add(j)
+                hits.append(x)
+                break
+    m = len(hits)
+    if not m:
+        j = 0.0
+    else:
+        j = (m / len(a) + m / len(b) + (m - sum(x != b[k] for x, k in zip(hits, sorted(used))) // 2) / m) / 3
+    p = next((i for i in range(min(4, len(a), len(b))) if a[i] != b[i]), min(4, len(a), len(b)))
+    return j + 0.1 * p * (1 - j)
+
+
+def _cosine(a, b):
+    if min(len(a), len(b)) < 2:
+        return float(a == b)
+    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+    return sum(x[g] * y[g] for g in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+def _combined(a, b):
+    if a == b:
+        return 1.0
+    return 0.9 if a in b or b in a else 0.5 * _jaro_winkler(a, b) + 0.3 * _lev(a, b) + 0.2 * _cosine(a, b)
+
+
+@pytest.mark.parametrize("algorithm, sim", [("combined", _combined), ("jaro-winkler", _jaro_winkler), ("ngram", _cosine), ("levenshtein", _lev)])
+def test_leader_dedup_equals_the_sequential_pass(spark, algorithm, sim):
+    r = random.Random(7)
+    words = ["large", "ring", "blue", "bolt", "widget", "small", "red", "hot", "gear", "a"]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(60)]
+    for _ in range(90):
+        t = r.choice(texts)
+        i = r.randrange(len(t))
+        texts.append(r.choice([t, t[:i] + r.choice("abcde ") + t[i + 1 :], t[:i] + t[i + 1 :], t + " " + r.choice(words), t[::-1]]).strip())
+    r.shuffle(texts)
+    texts += ["", "  ", "a", "b", "A", "ring"]
+    lead, want = [], {}
+    for seq, raw in enumerate(texts):
+        t = raw.lower().strip()
+        if not t:
+            continue
+        near = [(sim(t, u), -s) for s, u in lead if sim(t, u) >= 0.85 - 1e-12]
+        want[seq] = -max(near, key=lambda x: (round(x[0], 12), x[1]))[1] if near else seq
+        if not near:
+            lead.append((seq, t))
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    assert {x.seq: x.leader for x in dd.leader_dedup(df, algorithm=algorithm).collect()} == want
+    if algorithm == "combined":
+        assert {x.seq: x.leader for x in dd.leader_dedup(df).collect()} == want
