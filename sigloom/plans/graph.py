@@ -48,6 +48,18 @@ def dependency_graph(spark: SparkSession, sf: str) -> DataFrame:
     return pl.dependencies(emits, requires)
 
 
+@query(
+    "dependency_graph_all",
+    """WITH e AS (SELECT DISTINCT event_type AS component, CAST(user_id AS VARCHAR) AS signal FROM events),
+j AS (SELECT r.component AS consumer, e.component AS producer, signal, row_number() OVER (PARTITION BY r.component, signal ORDER BY e.component DESC) AS rn FROM e JOIN e r USING (signal) WHERE e.component <> r.component)
+SELECT consumer, producer, signal FROM j WHERE rn = 1""",
+)
+def dependency_graph_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the whole table: each event type emits and requires the signals of all its users."""
+    every = read(spark, sf, "events").select(F.col("event_type").alias("component"), F.col("user_id").cast("string").alias("signal")).distinct()
+    return pl.dependencies(every.withColumn("seq", F.col("component")), every)
+
+
 @query("ingest_exclude", "SELECT page_id FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)")
 def ingest_exclude(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "pages").withColumn("hash", F.sha2("html", 256))

@@ -164,3 +164,12 @@ def test_library_works_without_the_corpus_package(tmp_path):
     subprocess.run(["rm", "-rf", str(copy / "sigloom/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+
+
+def test_dependencies_of_the_whole_table(spark):
+    from sigloom import catalog
+
+    users = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string").alias("signal"), "event_type").distinct()
+    met = users.groupBy("signal").agg(F.count("*").alias("n")).filter("n > 1").select("signal")
+    got = catalog.queries()["dependency_graph_all"](spark, SF)
+    assert {r.signal for r in got.select("signal").distinct().collect()} == {r.signal for r in met.collect()}
