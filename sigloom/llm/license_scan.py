@@ -158,7 +158,7 @@ def place(block: str) -> tuple[tuple[str, float, int, int, str], tuple[int, int]
     seen = set(have)
     confirmed = []
     for name, tw, _ in _models()[1]:
-        if len(seen.intersection(tw)) < (1 - MAX_DIFF) * len(set(tw)):
+        if len(set(tw) - seen) > MAX_DIFF * len(tw):  # each word that is absent is missing once at least
             continue
         lo, hi = stretch(tw, have)
         missing, added, notes = differences(tw, have[lo:hi])

@@ -57,3 +57,11 @@ def test_wrapped_notices_are_found_whole():
     paragraphs = ls.TEMPLATES["MIT-text"].replace("conditions: ", "conditions:\n\n")
     assert [x[1] for x in ls.identify_all(paragraphs)] == ["MIT-text"]
     assert [x[:2] for x in ls.identify_all("Released into the public domain.\nThis is free and unencumbered software released into the public\ndomain.")][-1][1] == "Unlicense"
+
+
+def test_many_different_words_may_be_missing():
+    tw = ls.words(ls.TEMPLATES["MIT-text"])
+    n = int(ls.MAX_DIFF * len(tw))
+    once = [w for w in tw if tw.count(w) == 1][:n]
+    assert len(once) == n > ls.MAX_DIFF * len(set(tw))
+    assert ls.identify(" ".join(w for w in tw if w not in once))[:1] + ls.identify(" ".join(w for w in tw if w not in once))[2:4] == ("MIT-text", n, 0)
