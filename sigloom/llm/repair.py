@@ -5,8 +5,9 @@ Texts become ids of a byte-level BPE vocabulary; a shard holds the ids of about
 replaced by new ids (nonterminals) again and again, the most frequent first, and
 never across two documents. A round replaces all pairs that are at least a
 quarter as frequent as the best one (where two overlap, the more frequent one
-wins); it ends when no pair occurs ``MIN_COUNT`` times or a round shortens the
-shard by less than ``LEAST_GAIN``.
+wins). From the first round on that shortens the shard by less than ``LEAST_GAIN``,
+rounds replace all pairs that pay, however rare beside the best one; it ends when
+no pair is replaced ``MIN_COUNT`` times, the least that pays for its rule.
 
 A shard stores its rules, the expansion length of each, the shortened ids and
 where each document begins in them, so ids a..b of any document are decoded
@@ -41,7 +42,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_BYTES = 1 << 22
-MIN_COUNT = 8
+#: A rule costs two ids and a length, so with four uses it saves one.
+MIN_COUNT = 4
 LEAST_GAIN = 0.01
 
 
@@ -89,29 +91,44 @@ def compress(ids: np.ndarray, offsets: np.ndarray, first_new: int) -> tuple[np.n
     last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
+    tail = False  # rounds gain little: all pairs that pay
+    met = None  # after a round of the tail, where its pairs stood: pairs with no new id are no more frequent than before
     while len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         open_ = ~last[:-1]
-        ranked = np.sort(pair[open_])
-        if not len(ranked):
+        if met is not None:
+            new = seq >= newest
+            open_ &= met[:-1] | new[:-1] | new[1:]
+        # pairs in order, each with its places: sorted as one number, if both fit in it
+        where = np.flatnonzero(open_).astype(np.uint64)
+        if not len(where):
             break
+        wide, far = (first_new + n_rules).bit_length(), len(seq).bit_length()
+        wide = wide if 2 * wide + far <= 64 else 32
+        ranked = (seq[:-1][open_].astype(np.uint64) << np.uint64(wide)) | seq[1:][open_]
+        if wide < 32:
+            key = np.sort((ranked << np.uint64(far)) | where)
+            ranked, where = key >> np.uint64(far), key & np.uint64((1 << far) - 1)
+        else:
+            order = np.argsort(ranked, kind="stable")
+            ranked, where = ranked[order], where[order]
         head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         count = np.diff(np.append(head, len(ranked)))
         best = int(count.max())
         if best < MIN_COUNT:
             break
-        pick = count >= max(MIN_COUNT, best // 4)
+        in_tail = tail
+        pick = count >= (MIN_COUNT if tail else max(MIN_COUNT, best // 4))
+        places = where[np.repeat(pick, count)]
         chosen, count = ranked[head[pick]], count[pick]
+        chosen = ((chosen >> np.uint64(wide)) << np.uint64(32)) | (chosen & np.uint64((1 << wide) - 1))
         order = np.lexsort((chosen, -count))
         place = np.empty(len(chosen), np.int64)
         place[order] = np.arange(len(chosen))
-        # where chosen pairs stand; most positions fall to the test of the left id
-        left = np.zeros(first_new + n_rules, bool)
-        left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(open_ & left[seq[:-1]])
-        found = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[found] == pair[at]
-        at, rank = at[hit], place[found[hit]]
+        both = np.sort((places << np.uint64(32)) | np.repeat(place, count).astype(np.uint64))
+        at, rank = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        met = np.zeros(len(seq), bool) if in_tail else None
+        if in_tail:
+            met[at] = True
         # of overlapping places the better pair wins; in a run of one pair, every other place
         touch, same = np.diff(at) == 1, np.diff(rank) == 0
         head = np.flatnonzero(np.concatenate([[True], ~(touch & same)])) if len(at) else at
@@ -122,21 +139,25 @@ def compress(ids: np.ndarray, offsets: np.ndarray, first_new: int) -> tuple[np.n
         win = even & (rank < before) & (rank < after)
         at, rank = at[win], rank[win]
         used = np.bincount(rank, minlength=len(chosen))
-        keep = used >= 3  # a rule costs two ids
+        keep = used >= MIN_COUNT
         if not keep.any():
-            break
+            if tail:
+                break
+            tail = True
+            continue
         number = np.cumsum(keep) - 1
         ok = keep[rank]
         at, rank = at[ok], rank[ok]
-        if len(at) < LEAST_GAIN * len(seq):
-            break
+        tail = tail or len(at) < LEAST_GAIN * len(seq)
         rules.append(chosen[order][keep])
-        seq[at] = (first_new + n_rules + number[rank]).astype(np.uint32)
+        newest = first_new + n_rules
+        seq[at] = (newest + number[rank]).astype(np.uint32)
         last[at] = last[at + 1]
         n_rules += int(keep.sum())
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
+        met = met[stay] if in_tail else None
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     pairs = np.stack([(flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
     length = np.ones(first_new + n_rules, np.int64)

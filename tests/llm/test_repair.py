@@ -51,3 +51,16 @@ def test_rows_of_all_sorts(spark):
                 assert rp.decode(shard, d, a, b).tolist() == ids.tolist()[a:b]
     assert sorted(seen, key=str) == sorted([(i, None if t is None else tuple(encode(t))) for i, t, _ in rows], key=str)
     assert rp.shards(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first_new", [60_000, 1 << 23])
+def test_rare_pairs_beside_a_leading_one_are_replaced(first_new):
+    r = np.random.default_rng(0)
+    pairs = [(0, 1)] * 400 + [(2 * k, 2 * k + 1) for k in range(1, 91) for _ in range(90)]
+    parts = [[p[0], p[1], 200 + (7919 * i) % 59_000] for i, p in enumerate(pairs)]
+    ids = np.concatenate([parts[i] for i in r.permutation(len(parts))] + [np.arange(200, 59_200)]).astype(np.int32)
+    at = np.array([0, len(ids)])
+    rules, _, seq, _ = rp.compress(ids, at, first_new)
+    assert (rp.expand(seq, rules, first_new) == ids).all()
+    assert {tuple(x) for x in rules.tolist()} >= set(pairs)
+    assert len(seq) <= len(ids) - len(pairs)
