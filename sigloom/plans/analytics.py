@@ -35,6 +35,19 @@ def time_series(spark: SparkSession, sf: str) -> DataFrame:
     return wn.time_series(_events(spark, sf), "ts", "value", "2024-01-01 00:30:00", "2024-01-21 00:30:00", 21_600).withColumn("total", F.round("total", 6))
 
 
+@query(
+    "time_series_all",
+    """WITH m AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), b AS (SELECT unnest(range(lo, hi + 1, 21600000000)) AS bucket_us FROM m),
+e AS (SELECT lo + (epoch_us(ts) - lo) // 21600000000 * 21600000000 AS bucket_us, count(*) AS n, sum(value) AS total FROM events, m WHERE ts IS NOT NULL GROUP BY 1)
+SELECT bucket_us, coalesce(n, 0) AS n, round(coalesce(total, 0), 6) AS total FROM b LEFT JOIN e USING (bucket_us)""",
+)
+def time_series_all(spark: SparkSession, sf: str) -> DataFrame:
+    """From the table's least time to its greatest."""
+    e = _events(spark, sf)
+    start, end = e.agg(F.min("ts").cast("string"), (F.max("ts") + F.expr("interval 1 microsecond")).cast("string")).first()
+    return wn.time_series(e, "ts", "value", start, end, 21_600).withColumn("total", F.round("total", 6))
+
+
 @query("distinct_values", "SELECT event_type AS value, min(event_id) AS first_seq FROM events GROUP BY event_type ORDER BY first_seq LIMIT 4")
 def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
     return wn.distinct_values(read(spark, sf, "events"), "event_type", "event_id", 4)

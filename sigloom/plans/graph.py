@@ -66,6 +66,13 @@ def ingest_exclude(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(p.filter("page_id % 3 = 0").select("hash").distinct(), "hash", "left_anti").select("page_id")
 
 
+@query("ingest_exclude_copies", "SELECT page_id FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages GROUP BY ALL HAVING count(*) > 1)")
+def ingest_exclude_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Without the pages whose content the table holds more than once."""
+    p = read(spark, sf, "pages").withColumn("hash", F.sha2("html", 256))
+    return p.join(p.groupBy("hash").count().filter("count > 1").select("hash"), "hash", "left_anti").select("page_id")
+
+
 @query("pipeline_graph")
 def pipeline_graph(spark: SparkSession, sf: str) -> DataFrame:
     """A declared pipeline: clamp, gate and a grouped reduction of events, compiled to one plan."""

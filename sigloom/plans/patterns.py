@@ -111,6 +111,24 @@ def periodicity(spark: SparkSession, sf: str) -> DataFrame:
     return wn.periodicity(read(spark, sf, "events"), "event_type", "value", "event_id", 20, 0.01).withColumn("strength", F.round("strength", 9))
 
 
+_ACF_50 = _ACF.replace("range(1, 21)", "range(1, 51)").replace("n >= 40", "n >= 100")
+
+
+@query("autocorrelation_50", f"{_ACF_50} SELECT event_type, lag, round(acf, 9) AS acf FROM f")
+def autocorrelation_50(spark: SparkSession, sf: str) -> DataFrame:
+    """With as many lags as the reference takes by default."""
+    return wn.autocorrelation(read(spark, sf, "events"), "event_type", "value", "event_id", 50).withColumn("acf", F.round("acf", 9))
+
+
+@query(
+    "periodicity_50",
+    f"""{_ACF_50}, p AS (SELECT *, lag(acf) OVER w AS b, lead(acf) OVER w AS a FROM f WINDOW w AS (PARTITION BY event_type ORDER BY lag))
+SELECT event_type, arg_max(lag, (acf, -lag)) AS period, round(max(acf), 9) AS strength FROM p WHERE acf > b AND acf > a AND acf > 0.01 GROUP BY event_type""",
+)
+def periodicity_50(spark: SparkSession, sf: str) -> DataFrame:
+    return wn.periodicity(read(spark, sf, "events"), "event_type", "value", "event_id", 50, 0.01).withColumn("strength", F.round("strength", 9))
+
+
 _HIST = "h AS (SELECT event_type, CAST(greatest(0, least(15, floor(value / 500.0 * 16))) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 
 

@@ -173,3 +173,11 @@ def test_dependencies_of_the_whole_table(spark):
     met = users.groupBy("signal").agg(F.count("*").alias("n")).filter("n > 1").select("signal")
     got = catalog.queries()["dependency_graph_all"](spark, SF)
     assert {r.signal for r in got.select("signal").distinct().collect()} == {r.signal for r in met.collect()}
+
+
+def test_time_series_and_lags_reach_the_end(spark):
+    from sigloom import catalog
+
+    q = catalog.queries()
+    assert q["time_series_all"](spark, SF).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert q["autocorrelation_50"](spark, "/root/testdata/sf0.01").agg(F.max("lag")).first()[0] == 50
