@@ -18,8 +18,16 @@ A suffix array of the whole corpus can't be built by shards, but it needn't be:
 4. In each group of snippets a suffix array is built by prefix doubling; for each
    suffix the previous and the next smaller position in suffix order are its
    only candidates for the longest earlier match, and the longer of the two
-   common prefixes is its entry of the longest-previous-factor array.
-5. Entries of ``MIN_WORDS`` or more are spans to remove; they are merged by
+   common prefixes is its entry of the longest-previous-factor array. Following
+   the sources of entries of ``MIN_WORDS`` or more from one to the next leads to
+   the first place of the suffix's first ``MIN_WORDS`` words: that is the source
+   a span is given, so it depends on the corpus alone.
+5. An anchor with more than ``HOT`` snippets is split by its longest grams, the
+   ``MIN_WORDS``-word windows around it: equal ones are collapsed to the first by
+   an aggregate with map-side combine, and what that leaves of each is a single
+   snippet without any earlier match. So no task holds more than ``HOT`` snippets
+   of a group, and the spans and their sources are the same by either way.
+6. Entries of ``MIN_WORDS`` or more are spans to remove; they are merged by
    document.
 
 Defined results: null and empty texts have no passages and stay; a document of
@@ -41,6 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, rest_field, unpacked
 from sigloom.llm.graph import checkpoint, release, small_batches
 
 MIN_WORDS = 50
@@ -49,6 +58,8 @@ GRAM = 10
 REACH = MIN_WORDS - GRAM + 1
 #: Words a kernel call handles at once, whole groups at least.
 _BLOCK = 1 << 17
+#: Snippets of an anchor beyond which it is split by its windows.
+HOT = 8192
 _NULL_ID = -(1 << 63)
 
 
@@ -212,133 +223,114 @@ def longest_previous(symbols: np.ndarray, position: np.ndarray, ends: np.ndarray
     return length, source
 
 
+def first_places(length: np.ndarray, source: np.ndarray, least: int) -> np.ndarray:
+    """For each suffix the first one with its first ``least`` symbols: sources are followed while entries reach that length."""
+    root = np.where(length >= least, source, np.arange(len(length)))
+    while True:
+        further = root[root]
+        if (further == root).all():
+            return root
+        root = further
+
+
+_FOUND = ["did", "th", "total", "start", "n", "src", "src_at"]
+
+
+def _flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The spans of whole groups of snippets."""
+    t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    offsets, data = tk.buffers(t["words"])
+    h = data.view(np.uint64)
+    bound = offsets // 8
+    did, th, total = (t[c].to_numpy() for c in ("did", "th", "total"))
+    lo, size = t["lo"].to_numpy().astype(np.int64), np.diff(bound)
+    _, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
+    # of equal snippets the first speaks for all: the others are matches from end to end
+    one = tk.row_hash(h, bound[:-1], bound[1:])
+    order = np.lexsort((lo, rank, one))
+    new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = (rank[order] != rank[lead]) | (lo[order] != lo[lead])
+    later &= size[order] >= MIN_WORDS
+    copies, firsts = order[later], lead[later]
+    rows = np.sort(order[new])
+    n = len(rows)
+    size_ = size[rows]
+    at = np.cumsum(size_) - size_
+    picked = h[np.arange(size_.sum()) + np.repeat(bound[rows] - at, size_)]
+    # a separator after each snippet, unlike all else, ends every match
+    _, dense = np.unique(picked, return_inverse=True)
+    begin = at + np.arange(n)
+    symbols = np.empty(len(picked) + n, np.int64)
+    symbols[np.arange(len(picked)) + np.repeat(np.arange(n), size_)] = dense + n
+    symbols[begin + size_] = np.arange(n)
+    owner = np.repeat(np.arange(n), size_ + 1)
+    place = lo[rows][owner] + np.arange(len(symbols)) - begin[owner]
+    position = rank[rows][owner] * (int(place.max()) + 1) + place
+    length, source = longest_previous(symbols, position, (begin + size_)[owner], MIN_WORDS)
+    root = first_places(length, source, MIN_WORDS)
+    hit = np.flatnonzero(length >= MIN_WORDS)
+    from_, to = rows[owner[hit]], rows[owner[root[hit]]]
+    a, b = place[hit], place[root[hit]]
+    order = np.lexsort((a, rank[from_]))
+    from_, to, a, b = (c[order] for c in (from_, to, a, b))
+    d, s = rank[from_], rank[to]
+    once = np.ones(len(d), bool)
+    once[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
+    from_, to, a, b, d, s = (c[once] for c in (from_, to, a, b, d, s))
+    # neighbouring starts with one source are one match
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
+    heads = np.flatnonzero(new)
+    runs = np.diff(np.append(heads, len(d))) + MIN_WORDS - 1
+    # a copy's source is that of the first words of the snippet it repeats
+    where = np.zeros(len(size), np.int64)
+    where[rows] = begin
+    origin = root[where[firsts]]
+    from_, to = np.concatenate([from_[heads], copies]), np.concatenate([to[heads], rows[owner[origin]]])
+    start, source_at = np.concatenate([a[heads], lo[copies]]), np.concatenate([b[heads], place[origin]])
+    span = np.concatenate([runs, size[copies]])
+    cols = (did[from_], th[from_], total[from_], start.astype(np.int32), span.astype(np.int32), did[to], source_at.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], _FOUND)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor hash; spans (did, start, n, src, src_at) with an earlier match of MIN_WORDS or more."""
-    held: list[pa.RecordBatch] = []
+    """Rows come sorted by anchor hash; spans (did, start, n, src, src_at) with an earlier match of MIN_WORDS or more.
 
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        offsets, data = tk.buffers(t["words"])
-        h = data.view(np.uint64)
-        bound = offsets // 8
-        did, th, total = (t[c].to_numpy() for c in ("did", "th", "total"))
-        lo, size = t["lo"].to_numpy().astype(np.int64), np.diff(bound)
-        _, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
-        # of equal snippets the first speaks for all: the others are matches from end to end
-        one = tk.row_hash(h, bound[:-1], bound[1:])
-        order = np.lexsort((lo, rank, one))
-        new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        later = (rank[order] != rank[lead]) | (lo[order] != lo[lead])
-        later &= size[order] >= MIN_WORDS
-        copies, firsts = order[later], lead[later]
-        rows = np.sort(order[new])
-        n = len(rows)
-        size_ = size[rows]
-        at = np.cumsum(size_) - size_
-        picked = h[np.arange(size_.sum()) + np.repeat(bound[rows] - at, size_)]
-        # a separator after each snippet, unlike all else, ends every match
-        _, dense = np.unique(picked, return_inverse=True)
-        begin = at + np.arange(n)
-        symbols = np.empty(len(picked) + n, np.int64)
-        symbols[np.arange(len(picked)) + np.repeat(np.arange(n), size_)] = dense + n
-        symbols[begin + size_] = np.arange(n)
-        owner = np.repeat(np.arange(n), size_ + 1)
-        place = lo[rows][owner] + np.arange(len(symbols)) - begin[owner]
-        position = rank[rows][owner] * (int(place.max()) + 1) + place
-        length, source = longest_previous(symbols, position, (begin + size_)[owner], MIN_WORDS)
-        hit = np.flatnonzero(length >= MIN_WORDS)
-        from_, to = rows[owner[hit]], rows[owner[source[hit]]]
-        a, k, b = place[hit], length[hit], place[source[hit]]
-        order = np.lexsort((-k, a, rank[from_]))
-        from_, to, a, k, b = (c[order] for c in (from_, to, a, k, b))
-        d = rank[from_]
-        best = np.ones(len(d), bool)
-        best[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1])
-        from_, to, a, k, b, d = (c[best] for c in (from_, to, a, k, b, d))
-        s = rank[to]
-        # neighbouring starts with one source are one match
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
-        heads = np.flatnonzero(new)
-        reach = np.maximum.reduceat(a + k, heads) if len(heads) else a
-        from_, to = np.concatenate([from_[heads], copies]), np.concatenate([to[heads], firsts])
-        start, source_at = np.concatenate([a[heads], lo[copies]]), np.concatenate([b[heads], lo[firsts]])
-        span = np.concatenate([reach - a[heads], size[copies]])
-        cols = (did[from_], th[from_], total[from_], start.astype(np.int32), span.astype(np.int32), did[to], source_at.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["did", "th", "total", "start", "n", "src", "src_at"])
-
-    words, hot, hot_key = 0, None, None
+    Whole groups are handled together, as many as fill a block.
+    """
+    held: list[pa.RecordBatch] = []
+    words = 0
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-        keys = batch["h"].to_numpy()
-        if hot is not None:
-            n = int(np.searchsorted(keys, hot_key, "right"))
-            if n:
-                yield hot.feed(batch.slice(0, n))
-            if n == len(keys):
-                continue
-            hot, batch, keys = None, batch.slice(n), keys[n:]
         held.append(batch)
         words += batch["words"].nbytes // 8
         if words < _BLOCK:
             continue
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        last = int(np.searchsorted(t["h"].to_numpy(), keys[-1]))
-        if last:
-            yield flush([t.slice(0, last)])
-            t = t.slice(last)
-        held, words = [t], t["words"].nbytes // 8
-        if words >= _BLOCK:
-            hot, hot_key = _Hot(), keys[-1]
-            for at in range(0, t.num_rows, 1024):
-                yield hot.feed(t.slice(at, 1024))
-            held, words = [], 0
+        keys = batch["h"].to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or (len(held) > 1 and held[-2]["h"][-1].as_py() != int(keys[0])):
+            yield _flush([*held[:-1], batch.slice(0, last)])
+            held = [batch.slice(last)]
+            words = held[0]["words"].nbytes // 8
     if held:
-        yield flush(held)
+        yield _flush(held)
     del held
     tk.give_back()
 
 
-class _Hot:
-    """The snippets of an anchor that fill more than a block, a slice at a time, in order of the corpus.
-
-    Instead of a suffix array over them all, the first place of each window of
-    MIN_WORDS words is kept by hash: a window has an earlier match of that
-    length exactly if it is among them. Work grows with the snippets alone.
-    """
-
-    def __init__(self):
-        self.seen = np.zeros(0, np.uint64)
-        self.where = np.zeros((0, 3), np.int64)  # did, th, place
-
-    def feed(self, t: pa.RecordBatch) -> pa.RecordBatch:
-        offsets, data = tk.buffers(t["words"])
-        h, bound = data.view(np.uint64), offsets // 8
-        size = np.diff(bound)
-        n = np.maximum(size - MIN_WORDS + 1, 0)
-        row = np.repeat(np.arange(len(size)), n)
-        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hashes = tk.row_hash(h, bound[row] + start, bound[row] + start + MIN_WORDS)
-        did, th, total = (t[c].to_numpy() for c in ("did", "th", "total"))
-        me = np.stack([did[row], th[row], t["lo"].to_numpy().astype(np.int64)[row] + start], axis=1)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        source = me[first]
-        at = np.minimum(np.searchsorted(self.seen, distinct), max(len(self.seen) - 1, 0))
-        known = self.seen[at] == distinct if len(self.seen) else np.zeros(len(distinct), bool)
-        source[known] = self.where[at[known]]
-        place = np.searchsorted(self.seen, distinct[~known])
-        self.where = np.insert(self.where, place, source[~known], axis=0)
-        self.seen = np.insert(self.seen, place, distinct[~known])
-        source = source[back]
-        hit = np.flatnonzero((source != me).any(axis=1))
-        r, mine, from_ = row[hit], me[hit], source[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (r[1:] != r[:-1]) | (np.diff(mine[:, 2]) != 1) | (from_[1:, :2] != from_[:-1, :2]).any(axis=1) | (np.diff(from_[:, 2]) != 1)
-        heads = np.flatnonzero(new)
-        length = np.diff(np.append(heads, len(hit))) + MIN_WORDS - 1
-        r, mine, from_ = r[heads], mine[heads], from_[heads]
-        cols = (did[r], th[r], total[r], mine[:, 2].astype(np.int32), length.astype(np.int32), from_[:, 0], from_[:, 2].astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["did", "th", "total", "start", "n", "src", "src_at"])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of MIN_WORDS words around each wanted anchor of a document, by hash."""
+    for batch in _snippets(batches):
+        for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
+            offsets, data = tk.buffers(part["words"])
+            h, bound = data.view(np.uint64), offsets // 8
+            n = np.maximum(np.diff(bound) - MIN_WORDS + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hashes = tk.row_hash(h, bound[row] + start, bound[row] + start + MIN_WORDS)
+            pick = pa.array(row)
+            place = part["lo"].to_numpy()[row] + start
+            yield pa.RecordBatch.from_arrays([*(part[c].take(pick) for c in ("h", "did", "th", "total")), pa.array(place.astype(np.int32)), pa.array(tk.signed(hashes))], ["h", "did", "th", "total", "start", "w"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -349,27 +341,40 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, start_word, n_words, src_doc_id, src_word, total_words): matches with earlier copies; they may overlap.
 
     th is xxhash64 of the text. A document whose words all stand in an earlier
-    one is one span, its source the first such document.
+    one is one span, its source the first such document; the source of any other
+    span is the first place of its first MIN_WORDS words.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     need = _numbered(docs)
-    seen = need.mapInArrow(_survey, "doc_id long, th long, f1 long, f2 long, n int, h array<long>, at array<int>")
-    me = F.struct("doc_id", "th")
-    per = Window.partitionBy("f1", "f2")
-    seen = seen.select("*", F.min(me).over(per).alias("first"))
-    seen = checkpoint(seen.withColumn("copy", F.col("first") != me).withColumn("h", F.when(~F.col("copy"), F.col("h"))).withColumn("at", F.when(~F.col("copy"), F.col("at"))))
-    release(spark)
-    whole = seen.filter("copy").select("doc_id", "th", F.lit(0).alias("start_word"), F.col("n").alias("n_words"), F.col("first.doc_id").alias("src_doc_id"), F.lit(0).alias("src_word"), F.col("n").alias("total_words")).distinct()
-    lone = seen.filter("not copy").dropDuplicates(["doc_id", "th"])
+    seen = checkpoint(need.mapInArrow(_survey, "doc_id long, th long, f1 long, f2 long, n int, h array<long>, at array<int>"))
+    # of documents with the same words the first speaks for all; equal ones meet before the shuffle
+    lone = seen.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "h", "at")).alias("m"))
+    lone = checkpoint(lone.select("f1", "f2", "m.doc_id", "m.th", "m.h", "m.at"))
+    first = lone.select("f1", "f2", F.struct("doc_id", "th").alias("first"))
+    again = seen.select("doc_id", "th", "f1", "f2", "n").join(first, ["f1", "f2"]).filter(F.col("first") != F.struct("doc_id", "th"))
+    whole = again.select("doc_id", "th", F.lit(0).alias("start_word"), F.col("n").alias("n_words"), F.col("first.doc_id").alias("src_doc_id"), F.lit(0).alias("src_word"), F.col("n").alias("total_words")).distinct()
     each = lone.select("doc_id", "th", F.explode(F.arrays_zip("h", "at")).alias("a")).select("doc_id", "th", "a.h", "a.at")
-    met = each.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("c > 1")
-    want = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("want"))
-    ids = want.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
-    joined = need.join(ids, need["doc_id"].eqNullSafe(ids["w_id"]) & (need["th"] == ids["w_th"]))
-    snip = joined.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), "th", "text", "want").mapInArrow(_snippets, "h long, did long, th long, lo int, total int, words binary")
-    found = snip.repartition("h").sortWithinPartitions("h", "did", "th", "lo").mapInArrow(_repeats, "did long, th long, total int, start int, n int, src long, src_at int")
-    found = checkpoint(found)
+    often = checkpoint(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    release(spark)
+
+    def around(anchors: DataFrame) -> DataFrame:
+        """The texts with some of these anchors, and which."""
+        met = each.join(anchors.select("h"), "h")
+        want = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("want"))
+        ids = want.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
+        joined = need.join(ids, need["doc_id"].eqNullSafe(ids["w_id"]) & (need["th"] == ids["w_th"]))
+        return joined.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), "th", "text", "want")
+
+    snip = around(often.filter(F.col("c") <= HOT)).mapInArrow(_snippets, "h long, did long, th long, lo int, total int, words binary")
+    found = checkpoint(snip.repartition("h").sortWithinPartitions("h", "did", "th", "lo").mapInArrow(_repeats, "did long, th long, total int, start int, n int, src long, src_at int"))
+    hot = often.filter(F.col("c") > HOT)
+    if not hot.isEmpty():
+        near = checkpoint(around(hot).mapInArrow(_windows, "h long, did long, th long, total int, start int, w long"))
+        place = F.struct("did", "th", "start")
+        least = near.groupBy("h", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        later = near.join(least.drop("c"), ["h", "w"]).filter(place != F.col("first"))
+        found = found.unionByName(later.select("did", "th", "total", "start", F.lit(MIN_WORDS).alias("n"), F.col("first.did").alias("src"), F.col("first.start").alias("src_at")))
     release(spark)
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c))
     near = found.select(real("did").alias("doc_id"), "th", F.col("start").alias("start_word"), F.col("n").alias("n_words"), real("src").alias("src_doc_id"), F.col("src_at").alias("src_word"), F.col("total").alias("total_words"))
@@ -379,14 +384,14 @@ def spans(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, src_doc_id, src_word, total_words): the spans to remove, merged where they touch.
 
-    src is the source of a span's first words.
+    src is the source of a span's first words; if it has several, the least.
     """
     found = spans(docs).withColumn("end", F.col("start_word") + F.col("n_words"))
-    per = Window.partitionBy("doc_id", "th").orderBy("start_word", F.desc("end"), "src_doc_id", "src_word")
+    per = Window.partitionBy("doc_id", "th").orderBy("start_word", F.desc("end"))
     reach = F.max("end").over(per.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", F.when(reach >= F.col("start_word"), 0).otherwise(1))
     found = found.withColumn("island", F.sum("new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    first = lambda c: F.min_by(c, F.struct("start_word", -F.col("end"), F.col("src_doc_id"), F.col("src_word")))
+    first = lambda c: F.min_by(c, F.struct("start_word", "src_doc_id", "src_word"))
     out = found.groupBy("doc_id", "th", "island").agg(F.min("start_word").alias("start_word"), F.max("end").alias("end"), first("src_doc_id").alias("src_doc_id"), first("src_word").alias("src_word"), F.max("total_words").alias("total_words"))
     return out.select("doc_id", "th", "start_word", (F.col("end") - F.col("start_word")).cast("int").alias("n_words"), "src_doc_id", "src_word", "total_words")
 
@@ -419,9 +424,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without the words of :func:`repeats`; columns as given."""
     gone = repeats(docs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_word", "n_words")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__g_id"), F.col("th").alias("__g_th"), "gone")
-    rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(F.struct(*rest).alias("rest"), "text")
-    joined = plain.join(gone, F.col("rest.doc_id").eqNullSafe(F.col("__g_id")) & (F.xxhash64("text") == F.col("__g_th")), "left").select("rest", "text", "gone")
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone")
+    plain = docs.select(rest(docs), "text")
+    joined = plain.join(gone, rest_field(docs, "doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_th")), "left").select("rest", "text", "gone")
     out = joined.mapInArrow(_cut, plain.schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    return out.select(*unpacked(out, docs))

@@ -75,27 +75,55 @@ def test_longest_previous_factor(seed):
             assert source[i] < i and (s[source[i] : source[i] + length[i]] == s[i : i + length[i]]).all()
 
 
-def test_hot_anchor_in_blocks(monkeypatch):
-    """An anchor whose snippets fill many blocks: every later copy is found though no block holds all."""
-    r = np.random.default_rng(0)
-    base = r.integers(1, 1 << 60, 90)
+FULL = ("doc_id", "start_word", "n_words", "src_doc_id", "src_word", "total_words")
+
+
+def first_places(rows, k=sd.MIN_WORDS):
+    """First (doc_id, word) of every window of k words."""
+    first = {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        w = (t or "").split()
+        for i in range(len(w) - k + 1):
+            first.setdefault(tuple(w[i : i + k]), (d, i))
+    return first
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_no_column_depends_on_the_sizes_of_blocks_and_hot_anchors(spark, monkeypatch, seed):
+    """All columns are the same however many words a kernel call takes and however few snippets make an anchor hot."""
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: sorted((tuple(r[c] for c in FULL) for r in sd.repeats(df).collect()), key=str)
+    want = run()
+    assert {(r[0], r[1], r[2], r[5]) for r in want} == brute(rows)
+    for name, size in [("_BLOCK", 300), ("HOT", 1), ("HOT", 12)]:
+        with monkeypatch.context() as m:
+            m.setattr(sd, name, size)
+            assert run() == want
+    # the source is the first place of the first words, but in whole copies (a place in the copied document) and runs of one word
+    text, first = {d: (t or "").split() for d, t in rows}, first_places(rows)
+    for d, at, n, s, s_at, total in want:
+        gram = text[d][at : at + sd.MIN_WORDS]
+        assert text[s][s_at : s_at + len(gram)] == gram and ((s is not None, s or 0, s_at) < (d is not None, d or 0, at))
+        if n < total and len(set(gram)) > 12:
+            assert first[tuple(gram)] == (s, s_at)
+
+
+def test_hot_anchor(spark, monkeypatch):
+    """A passage in hundreds of documents, with other words around it: sources by array and by windows agree."""
+    r = random.Random(4)
+    p = [r.choice(W) for _ in range(70)]
     rows = []
-    for d in range(300):
-        w = base.copy()
-        if d % 3:
-            w[: r.integers(0, 40)] = r.integers(1, 1 << 60)
-            w[90 - r.integers(1, 30) :] = r.integers(1, 1 << 60)
-        rows.append((7, d, 0, 0, 90, w.tobytes()))
-    # other anchors before and after, so that blocks begin and end in the middle of the hot one
-    other = lambda h, n: [(h, d, 0, 0, 90, r.integers(1, 1 << 60, 90).tobytes()) for d in range(n)]
-    rows = other(5, 13) + other(6, 9) + rows + other(8, 3) + rows[:7]
-    rows[-7:] = [(9, *x[1:]) for x in rows[-7:]]
-    names, kinds = ["h", "did", "th", "lo", "total", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-    run = lambda: {(d, w) for b in sd._repeats(batch.slice(i, 20) for i in range(0, len(rows), 20)) for d, a, n in zip(*(b[c].to_pylist() for c in ("did", "start", "n"))) for w in range(a, a + n)}
-    whole = run()
-    monkeypatch.setattr(sd, "_BLOCK", 2000)
-    assert run() == whole and {d for d, _ in whole} >= set(range(3, 300, 3))
+    for d in range(400):
+        w = [r.choice(W) for _ in range(60)]
+        a, b = (0, 70) if d % 3 == 0 else (r.randint(0, 12), r.randint(61, 70))
+        rows.append((d, " ".join(w[:30] + p[a:b] + w[30:])))
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: sorted(tuple(x[c] for c in FULL) for x in sd.repeats(df).collect())
+    want = run()
+    assert {(x[0], x[1], x[2], x[5]) for x in want} == brute(rows) and len(want) >= 300
+    monkeypatch.setattr(sd, "HOT", 20)
+    assert run() == want
 
 
 def test_dedup_keeps_the_first_copy(spark):
