@@ -3,11 +3,15 @@
 Texts become ids of a byte-level BPE vocabulary; a shard holds the ids of about
 ``SHARD_BYTES`` of text. In each shard, frequent pairs of neighbouring ids are
 replaced by new ids (nonterminals) again and again, the most frequent first, and
-never across two documents. A round replaces all pairs that are at least a
-quarter as frequent as the best one (where two overlap, the more frequent one
-wins). From the first round on that shortens the shard by less than ``LEAST_GAIN``,
-rounds replace all pairs that pay, however rare beside the best one; it ends when
-no pair is replaced ``MIN_COUNT`` times, the least that pays for its rule.
+never across two documents. Pairs are replaced level by level: all of at least
+half the greatest count (where two overlap, the more frequent one wins), then all
+of a quarter, and so on, the pairs that new ids form among them. It ends when no
+pair is replaced ``MIN_COUNT`` times, the least that pays for its rule: a rule
+takes 8 bytes (two ids of three, a length of two), two uses save 6 and three 9.
+
+A pair's count is an upper bound from then on, since only pairs with a new id can
+become more frequent: so a round sorts the places whose bound reaches its level,
+and those beside a new id, not the whole shard.
 
 A shard stores its rules, the expansion length of each, the shortened ids and
 where each document begins in them, so ids a..b of any document are decoded
@@ -42,9 +46,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_BYTES = 1 << 22
-#: A rule costs two ids and a length, so with four uses it saves one.
-MIN_COUNT = 4
-LEAST_GAIN = 0.01
+#: A rule of fewer uses takes more bytes than it saves.
+MIN_COUNT = 3
+#: Share of the shard below which what a round replaces lets the next level begin; what is left is met there.
+LOW_GAIN = 0.01
+_OPEN = np.uint32(0xFFFFFFFF)
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,80 +90,74 @@ class Tokenizer:
         return ids, bound[np.searchsorted(starts, offsets)]
 
 
+def _replaced(at: np.ndarray, key: np.ndarray, count: np.ndarray, pick: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, rank of the pair at each, the pairs by rank) to replace: of pairs that overlap the more frequent wins."""
+    chosen, often = key[head[pick]], count[pick]
+    order = np.lexsort((chosen, -often))
+    place = np.empty(len(chosen), np.uint64)
+    place[order] = np.arange(len(chosen), dtype=np.uint64)
+    both = np.sort((at[np.repeat(pick, count)].astype(np.uint64) << np.uint64(32)) | np.repeat(place, often))
+    at, rank = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    touch, same = np.diff(at) == 1, np.diff(rank) == 0
+    # in a run of one pair, every other place
+    run = np.flatnonzero(np.concatenate([[True], ~(touch & same)]))
+    even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+    beyond = len(chosen)
+    before = np.concatenate([[beyond], np.where(touch & ~same, rank[:-1], beyond)])
+    after = np.concatenate([np.where(touch & ~same, rank[1:], beyond), [beyond]])
+    win = even & (rank < before) & (rank < after)
+    return at[win], rank[win], chosen[order]
+
+
 def compress(ids: np.ndarray, offsets: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs, expansion lengths, shortened ids, offsets of the documents in them)."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)  # ends a document: joins nothing on its right
     last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+    most = np.where(last, np.uint32(0), _OPEN)  # at each place, how frequent its pair is at most
     rules: list[np.ndarray] = []
-    n_rules = 0
-    tail = False  # rounds gain little: all pairs that pay
-    met = None  # after a round of the tail, where its pairs stood: pairs with no new id are no more frequent than before
+    n_rules, level = 0, None
     while len(seq) > 1:
-        open_ = ~last[:-1]
-        if met is not None:
-            new = seq >= newest
-            open_ &= met[:-1] | new[:-1] | new[1:]
-        # pairs in order, each with its places: sorted as one number, if both fit in it
-        where = np.flatnonzero(open_).astype(np.uint64)
-        if not len(where):
-            break
-        wide, far = (first_new + n_rules).bit_length(), len(seq).bit_length()
-        wide = wide if 2 * wide + far <= 64 else 32
-        ranked = (seq[:-1][open_].astype(np.uint64) << np.uint64(wide)) | seq[1:][open_]
-        if wide < 32:
-            key = np.sort((ranked << np.uint64(far)) | where)
-            ranked, where = key >> np.uint64(far), key & np.uint64((1 << far) - 1)
-        else:
-            order = np.argsort(ranked, kind="stable")
-            ranked, where = ranked[order], where[order]
-        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        count = np.diff(np.append(head, len(ranked)))
-        best = int(count.max())
-        if best < MIN_COUNT:
+        at = np.flatnonzero(most >= (level or MIN_COUNT))
+        gain = 0
+        if len(at):
+            # pairs in order, each with its places: sorted as one number, if both fit in it
+            wide, far = (first_new + n_rules).bit_length(), len(seq).bit_length()
+            wide = wide if 2 * wide + far <= 64 else 32
+            key = (seq[at].astype(np.uint64) << np.uint64(wide)) | seq[at + 1]
+            if wide < 32:
+                key = np.sort((key << np.uint64(far)) | at.astype(np.uint64))
+                key, at = key >> np.uint64(far), (key & np.uint64((1 << far) - 1)).astype(np.int64)
+            else:
+                order = np.argsort(key, kind="stable")
+                key, at = key[order], at[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(head, len(key)))
+            most[at] = np.repeat(count, count)
+            level = level or max(MIN_COUNT, int(count.max()) // 2)
+            pick = count >= level
+            if pick.any():
+                at, rank, chosen = _replaced(at, key, count, pick, head)
+                keep = np.bincount(rank, minlength=len(chosen)) >= MIN_COUNT
+                number = np.cumsum(keep) - 1
+                at, rank = at[keep[rank]], rank[keep[rank]]
+                gain = len(at)
+        if gain:
+            chosen = chosen[keep]
+            rules.append(((chosen >> np.uint64(wide)) << np.uint64(32)) | (chosen & np.uint64((1 << wide) - 1)))
+            seq[at] = (first_new + n_rules + number[rank]).astype(np.uint32)
+            n_rules += len(chosen)
+            last[at] = last[at + 1]
+            most[at] = np.where(last[at], np.uint32(0), _OPEN)
+            left = at[at > 0] - 1
+            most[left[~last[left]]] = _OPEN
+            stay = np.ones(len(seq), bool)
+            stay[at + 1] = False
+            seq, last, most = seq[stay], last[stay], most[stay]
+        elif level is None or level == MIN_COUNT:
             break
-        in_tail = tail
-        pick = count >= (MIN_COUNT if tail else max(MIN_COUNT, best // 4))
-        places = where[np.repeat(pick, count)]
-        chosen, count = ranked[head[pick]], count[pick]
-        chosen = ((chosen >> np.uint64(wide)) << np.uint64(32)) | (chosen & np.uint64((1 << wide) - 1))
-        order = np.lexsort((chosen, -count))
-        place = np.empty(len(chosen), np.int64)
-        place[order] = np.arange(len(chosen))
-        both = np.sort((places << np.uint64(32)) | np.repeat(place, count).astype(np.uint64))
-        at, rank = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        met = np.zeros(len(seq), bool) if in_tail else None
-        if in_tail:
-            met[at] = True
-        # of overlapping places the better pair wins; in a run of one pair, every other place
-        touch, same = np.diff(at) == 1, np.diff(rank) == 0
-        head = np.flatnonzero(np.concatenate([[True], ~(touch & same)])) if len(at) else at
-        even = (np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0
-        far = len(chosen)
-        before = np.concatenate([[far], np.where(touch & ~same, rank[:-1], far)])
-        after = np.concatenate([np.where(touch & ~same, rank[1:], far), [far]])
-        win = even & (rank < before) & (rank < after)
-        at, rank = at[win], rank[win]
-        used = np.bincount(rank, minlength=len(chosen))
-        keep = used >= MIN_COUNT
-        if not keep.any():
-            if tail:
-                break
-            tail = True
-            continue
-        number = np.cumsum(keep) - 1
-        ok = keep[rank]
-        at, rank = at[ok], rank[ok]
-        tail = tail or len(at) < LEAST_GAIN * len(seq)
-        rules.append(chosen[order][keep])
-        newest = first_new + n_rules
-        seq[at] = (newest + number[rank]).astype(np.uint32)
-        last[at] = last[at + 1]
-        n_rules += int(keep.sum())
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-        met = met[stay] if in_tail else None
+        if gain < LOW_GAIN * len(seq):
+            level = max(MIN_COUNT, level // 2)
     flat = np.concatenate(rules) if rules else np.zeros(0, np.uint64)
     pairs = np.stack([(flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)], axis=1)
     length = np.ones(first_new + n_rules, np.int64)
@@ -175,9 +175,9 @@ def compress(ids: np.ndarray, offsets: np.ndarray, first_new: int) -> tuple[np.n
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Three bytes each, least first; four if some value needs them (the first byte says which)."""
+    """As many bytes each as the greatest needs, least first (the first byte says how many)."""
     flat = np.ascontiguousarray(values, dtype="<u4").ravel()
-    width = 3 if not len(flat) or flat.max() < 1 << 24 else 4
+    width = max(1, (int(flat.max()).bit_length() + 7) // 8) if len(flat) else 1
     return bytes([width]) + flat.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 

@@ -64,3 +64,55 @@ def test_rare_pairs_beside_a_leading_one_are_replaced(first_new):
     assert (rp.expand(seq, rules, first_new) == ids).all()
     assert {tuple(x) for x in rules.tolist()} >= set(pairs)
     assert len(seq) <= len(ids) - len(pairs)
+
+
+def brute(docs, first_new, least):
+    """(rules, symbols left) of Re-Pair with one pair at a time, each count taken anew."""
+    docs, rules = [list(map(int, d)) for d in docs], 0
+    while True:
+        uses = {}
+        for d in docs:
+            seen = {}
+            for i, pair in enumerate(zip(d, d[1:])):
+                if seen.get(pair) != i - 1:
+                    uses[pair] = uses.get(pair, 0) + 1
+                    seen[pair] = i
+                else:
+                    seen[pair] = None
+        pair, n = max(uses.items(), key=lambda x: (x[1], x[0]), default=(None, 0))
+        if n < least:
+            return rules, sum(map(len, docs))
+        for d in docs:
+            out, i = [], 0
+            while i < len(d):
+                hit = i + 1 < len(d) and (d[i], d[i + 1]) == pair
+                out.append(first_new + rules if hit else d[i])
+                i += 2 if hit else 1
+            d[:] = out
+        rules += 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_is_as_small_as_one_pair_at_a_time_makes_it(seed):
+    r = np.random.default_rng(seed)
+    words = [r.integers(0, 300, r.integers(1, 5)) for _ in range(120)]
+    phrases = [np.concatenate([words[min(119, int(r.zipf(1.4)))] for _ in range(r.integers(2, 9))]) for _ in range(60)]
+    docs = [np.concatenate([phrases[r.integers(60)] if r.random() < 0.4 else words[min(119, int(r.zipf(1.3)))] for _ in range(r.integers(5, 60))]) for _ in range(80)]
+    ids, at = np.concatenate(docs).astype(np.int32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    pairs, lengths, seq, starts = rp.compress(ids, at, 300)
+    rules, left = brute(docs, 300, rp.MIN_COUNT)
+    assert len(seq) + 2 * len(pairs) <= 1.03 * (left + 2 * rules)
+    assert (rp.expand(seq, pairs, 300) == ids).all()
+    # nothing that pays is left
+    again = {}
+    for a, b in zip(starts[:-1], starts[1:]):
+        for p in set(zip(seq[a:b].tolist(), seq[a + 1 : b].tolist())):
+            again[p] = again.get(p, 0) + 1
+    assert max(again.values(), default=0) < rp.MIN_COUNT
+
+
+def test_packed_numbers_come_back():
+    for top in (0, 255, 256, 65_536, 1 << 24, (1 << 32) - 1):
+        values = np.array([0, top // 2, top], np.uint32)
+        assert (rp.unpack(rp.pack(values)) == values).all()
+    assert len(rp.unpack(rp.pack(np.zeros(0, np.uint32)))) == 0
