@@ -52,7 +52,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line, license, reduction, missing, added, differences) of every licence notice."""
+    """(doc_id, line, license, template, reduction, missing, added, differences) of every licence notice or text."""
     from sigloom.llm.license_scan import scan_licenses
 
     return scan_licenses(read(spark, sf_dir, "documents"))
