@@ -22,6 +22,6 @@ def rest_field(docs: DataFrame, name: str) -> Column:
     return F.col("rest").getField(f"r{docs.columns.index(name)}")
 
 
-def unpacked(out: DataFrame, docs: DataFrame) -> list[Column]:
-    """The columns of ``docs`` from ``rest`` and ``text``, in their order."""
+def unpacked(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, in their order, from a table of ``rest`` and ``text``."""
     return [F.col("text") if c == "text" else rest_field(docs, c).alias(c) for c in docs.columns]

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, unpacked
 from sigloom.llm.graph import small_batches
 
 N = 8
@@ -235,7 +236,5 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with contaminated spans cut out and contaminated documents removed; columns as given."""
-    rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(F.struct(*rest).alias("rest"), "text") if rest else docs.select(F.struct(F.lit(1)).alias("rest"), "text")
-    out = scan(plain, benchmark).mapInArrow(_cut, plain.schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    plain = docs.select(rest(docs), "text")
+    return scan(plain, benchmark).mapInArrow(_cut, plain.schema).select(*unpacked(docs))

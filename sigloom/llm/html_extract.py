@@ -67,7 +67,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
 
 def kinds(toks: list[tuple[str, str]]) -> list[tuple[str, int]]:
     """(kind, words) of each token: text by the tag it stands in, tags by name; labelling tags have no kind."""
-    out, stack = [], []
+    out, stack, depth = [], [], {}
     for name, what in toks:
         if not name:
             out.append(("word:" + (stack[-1] if stack else ""), len(what.split())))
@@ -79,9 +79,13 @@ def kinds(toks: list[tuple[str, str]]) -> list[tuple[str, int]]:
             if name in ("p", "li", "b") and stack and stack[-1] == name:
                 continue  # closed by the next of its kind
             stack.append(name)
-        elif name in stack:
-            while stack.pop() != name:
-                pass
+            depth[name] = depth.get(name, 0) + 1
+        elif depth.get(name):
+            while True:
+                gone = stack.pop()
+                depth[gone] -= 1
+                if gone == name:
+                    break
     return out
 
 

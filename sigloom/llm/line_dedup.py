@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, rest_field, unpacked
 from sigloom.llm.graph import checkpoint, connected_components, release, small_batches
 
 SHINGLE = 8
@@ -368,12 +369,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents without the lines that :func:`dropped_lines` gives; columns as given."""
     gone = dropped_lines(docs).groupBy("doc_id", "th").agg(F.collect_set("line").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__g_id"), F.col("th").alias("__g_th"), "__gone")
-    rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(F.struct(*rest).alias("rest"), "text")
+    plain = docs.select(rest(docs), "text")
     schema = plain.schema
     keyed = plain.withColumn("th", F.xxhash64("text"))
     packed = keyed.mapInArrow(tk.zip_column, T.StructType([schema["rest"], T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType())]))
-    on = F.col("rest.doc_id").eqNullSafe(F.col("__g_id")) & (F.col("th") == F.col("__g_th"))
+    on = rest_field(docs, "doc_id").eqNullSafe(F.col("__g_id")) & (F.col("th") == F.col("__g_th"))
     joined = packed.join(gone.hint("shuffle_hash"), on, "left").select("rest", "z", F.col("__gone").alias("gone"))
     out = joined.mapInArrow(_rebuild, schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    return out.select(*unpacked(docs))

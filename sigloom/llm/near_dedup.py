@@ -12,15 +12,19 @@ are enumerated by leaving each symbol of a chunk out in turn: equal rests give
 equal keys. So each pair under the threshold meets under one key at least (no
 recall is lost to the index), and every meeting is checked in full.
 
-Scale: only (key, id) pairs are shuffled, 16 bytes each; keys seen once end
-there; equal signatures are one entry. A key's entries are joined by breadth-first search
+Scale: only (key, node) pairs are shuffled, 16 bytes each, and counted before
+the shuffle; keys seen once end there; equal signatures are one entry. A key of
+more than ``HOT`` entries is split: each of its entries gets the keys of another
+chunking, to which the pigeonhole applies as well, so that all its pairs meet
+again in smaller buckets. A key's entries are joined by breadth-first search
 over full distances, so thousands of copies cost one pass and yield one
 edge each, and nothing is capped. Groups are the connected components.
 
 Defined results: a null or wordless text has no signature and is no one's
-duplicate; rows that repeat a doc_id are one document and share its fate; rows
-with a null doc_id belong to no group and stay; ties cannot arise (the least
-doc_id of a group stays); extra columns are ignored or, in :func:`filter_near`,
+duplicate; rows with equal doc_id and text are one document and share its fate,
+rows with equal doc_id and other texts are different documents; rows with a null
+doc_id belong to no group and stay; of a group the least doc_id stays (where it
+has several texts in the group, that of the least hash); extra columns are ignored or, in :func:`filter_near`,
 passed through, whatever their names. An empty table gives an empty result.
 """
 
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, rest_field, unpacked
 from sigloom.llm.graph import checkpoint, connected_components, small_batches
 
 N_HASH = 64
@@ -45,6 +50,9 @@ SHINGLE = 2
 _MULTS = tk.hash_params(N_HASH, 1)
 #: First symbol of each chunk.
 CUTS = [round(i * N_HASH / CHUNKS) for i in range(CHUNKS + 1)]
+#: Signatures under one key beyond which it is split; the symbols in the order of the other chunking.
+HOT = 50_000
+_OTHER = np.random.default_rng(7).permutation(N_HASH)
 
 
 def signature_matrix(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +80,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sig = signature_matrix(part["text"])
         ids = part["doc_id"].take(pa.array(rows))
         raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * N_HASH), len(rows), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])
-        yield pa.RecordBatch.from_arrays([ids, raw.cast(pa.binary())], ["doc_id", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, part["th"].take(pa.array(rows)), raw.cast(pa.binary())], ["doc_id", "th", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig) of the documents that have words."""
-    need = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return need.mapInArrow(_sign, "doc_id long, sig binary")
+    """(doc_id, th, sig) of the documents that have words; th is xxhash64 of the text."""
+    need = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("doc_id is not null and text is not null")
+    return need.mapInArrow(_sign, "doc_id long, th long, sig binary")
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -100,8 +108,18 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
             keys = chunk_keys(_matrix(part["sig"]))
-            ids = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), N_HASH)
-            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(keys.ravel())), pa.array(ids)], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(keys.ravel())), pa.array(np.repeat(part["node"].to_numpy(), N_HASH))], ["key", "node"])
+
+
+def _split_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of rows (key, node, sig) under another chunking, each with the key it splits."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 8192):
+            part = batch.slice(at, 8192)
+            keys = chunk_keys(np.ascontiguousarray(_matrix(part["sig"])[:, _OTHER]))
+            with np.errstate(over="ignore"):
+                keys = tk.mix(keys + part["key"].to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(tk.signed(keys.ravel())), pa.array(np.repeat(part["node"].to_numpy(), N_HASH))], ["key", "node"])
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -163,7 +181,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        x, y = _group_edges(t["key"].to_numpy(), t["doc_id"].to_numpy(), _matrix(t["sig"]))
+        x, y = _group_edges(t["key"].to_numpy(), t["node"].to_numpy(), _matrix(t["sig"]))
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     for batch in batches:
@@ -182,24 +200,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tk.give_back()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of each document in a group of two or more; group_id is the least doc_id of the group, the one to keep."""
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, group_id, keep_th) of each document, by doc_id and hash of its text, in a group of two or more; the one of (group_id, keep_th) stays."""
     small_batches(docs.sparkSession)
-    signed = checkpoint(signatures(docs))
-    first = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    equal = signed.join(first, "sig").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = checkpoint(first.select(F.col("rep").alias("doc_id"), "sig"))
-    keys = reps.mapInArrow(_keys, "key long, doc_id long")
-    from pyspark.sql import Window
-
-    met = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").select("key", "doc_id")
-    rows = met.join(reps, "doc_id").select("key", "doc_id", "sig").repartition("key").sortWithinPartitions("key", "doc_id")
+    signed = checkpoint(signatures(docs).distinct())
+    # equal signatures are one node, known by a number, since a doc_id may have several texts
+    first = signed.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("n"))
+    first = checkpoint(first.withColumn("node", F.monotonically_increasing_id()))
+    nodes = first.select("node", "sig")
+    keys = nodes.mapInArrow(_keys, "key long, node long")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = keys.join(often, "key")
+    hot = often.filter(F.col("c") > HOT)
+    if not hot.isEmpty():
+        # a bucket of that many is split under another chunking, which meets all its pairs again
+        split = keys.join(hot.select("key"), "key").join(nodes, "node").mapInArrow(_split_keys, "key long, node long")
+        again = split.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        met = met.filter(F.col("c") <= HOT).select("key", "node").unionByName(split.join(again.select("key"), "key"))
+    rows = met.select("key", "node").join(nodes, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key", "node")
     edges = rows.mapInArrow(_verify, "a long, b long")
-    groups = connected_components(edges.unionByName(equal))
-    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    groups = connected_components(edges)
+    known = first.join(groups, "node", "left").filter("root is not null or n > 1").select("sig", F.coalesce("root", "node").alias("root"), "rep")
+    keep = known.groupBy("root").agg(F.min("rep").alias("keep"))
+    of = known.join(keep, "root").select("sig", F.col("keep.doc_id").alias("group_id"), F.col("keep.th").alias("keep_th"))
+    return signed.join(of, "sig").select("doc_id", "th", "group_id", "keep_th")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id) of each document in a group of two or more; group_id is the least doc_id of the group, the one to keep."""
+    return _members(docs).select("doc_id", "group_id").distinct()
 
 
 def filter_near(docs: DataFrame) -> DataFrame:
     """The documents without all but the first of each group; columns as given."""
-    drop = near_groups(docs).filter("doc_id != group_id").select(F.col("doc_id").alias("__near_id"))
-    return docs.join(drop, docs["doc_id"] == F.col("__near_id"), "left_anti")
+    drop = _members(docs).filter("doc_id != group_id or th != keep_th").select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"))
+    plain = docs.select(rest(docs), "text")
+    left = plain.join(drop, (rest_field(docs, "doc_id") == F.col("d_id")) & (F.xxhash64("text") == F.col("d_th")), "left_anti")
+    return left.select(*unpacked(docs))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, unpacked
 from sigloom.llm.graph import small_batches
 
 KEEP = 0.5
@@ -201,7 +202,5 @@ def filter_quality(docs: DataFrame) -> DataFrame:
         for part in tk.chunks(batches):
             yield part.filter(pa.array(np.isin(vote_codes(part["text"]), good)))
 
-    rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(1).alias("rest"), "text")
-    out = plain.mapInArrow(keep, plain.schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    plain = docs.select(rest(docs), "text")
+    return plain.mapInArrow(keep, plain.schema).select(*unpacked(docs))

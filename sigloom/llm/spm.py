@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm import textkernel as tk
+from sigloom.llm.columns import rest, unpacked
 from sigloom.llm.graph import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -363,13 +364,23 @@ _kept: dict[str, Encoder] = {}
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """docs with ``piece_ids`` and ``exact`` (whether decoding gives the text back); columns of these names give way."""
+    """docs with ``piece_ids`` and ``exact`` (whether decoding gives the text back).
+
+    Columns that have these names already are kept as ``piece_ids_in`` and ``exact_in`` (with further ``_in`` if those exist too).
+    """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "piece_ids", "exact")]
-    plain = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(1).alias("rest"), "text")
+    taken = set(docs.columns)
+    for name in ("piece_ids", "exact"):
+        if name in taken:
+            other = name
+            while other in taken:
+                other += "_in"
+            docs = docs.withColumnRenamed(name, other)
+            taken.add(other)
+    plain = docs.select(rest(docs), "text")
     schema = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     out = plain.mapInArrow(_encoder(path), schema)
-    return out.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c == "text" or c in rest), F.col("ids").alias("piece_ids"), "exact")
+    return out.select(*unpacked(docs), F.col("ids").alias("piece_ids"), "exact")
 
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:

@@ -428,4 +428,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     plain = docs.select(rest(docs), "text")
     joined = plain.join(gone, rest_field(docs, "doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_th")), "left").select("rest", "text", "gone")
     out = joined.mapInArrow(_cut, plain.schema)
-    return out.select(*unpacked(out, docs))
+    return out.select(*unpacked(docs))

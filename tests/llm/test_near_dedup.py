@@ -98,3 +98,33 @@ def test_long_text(spark):
     t = " ".join(r.choice(WORDS) for _ in range(200_000))
     rows = [(1, t, "", "", 0), (2, t + " end", "", "", 0)]
     assert {tuple(r) for r in nd.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 1), (2, 1)}
+
+
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, b + " more"), (5, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.filter_near(df).collect())) == sorted([(1, a), (2, b), (3, c), (3, c)])
+    assert {tuple(x) for x in nd.near_groups(df).collect()} == {(1, 1), (2, 1), (2, 2), (4, 2), (3, 3), (5, 3)}
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_split_buckets_lose_no_pair(spark, monkeypatch, hot):
+    rows = corpus(3)
+    monkeypatch.setattr(nd, "HOT", hot)
+    assert {tuple(r) for r in nd.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
+def test_other_chunking_meets_every_pair():
+    """Signatures at the greatest distance that counts: some key of the other chunking is equal."""
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        sig = r.integers(0, 1 << 16, (2, nd.N_HASH)).astype(np.uint16)
+        sig[1] = sig[0]
+        at = r.permutation(nd.N_HASH)[: nd.MAX_DIST]
+        sig[1, at] += 1
+        for s in (sig, np.ascontiguousarray(sig[:, nd._OTHER])):
+            keys = nd.chunk_keys(s)
+            assert set(keys[0].tolist()) & set(keys[1].tolist())
