@@ -89,7 +89,55 @@ def shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return values, starts
 
 
+class _Seen:
+    """First places of the lines that a task has met, as far as its table holds them.
+
+    A line that stands after a known place of the same line is a repeat for
+    certain and needs no shuffle to find that out. So a line that a third of all
+    documents hold goes to its group once a task, not once a document.
+    """
+
+    BITS = 17
+
+    def __init__(self):
+        n = 1 << self.BITS
+        self.h = np.zeros((n, 2), np.uint64)
+        self.place = np.zeros((n, 3), np.int64)
+
+    def repeats(self, h1: np.ndarray, h2: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which lines go to their groups, which are repeats for certain); a place met twice is in neither."""
+        n = len(h1)
+        order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], h2, h1))
+        a, b, p = h1[order], h2[order], place[order]
+        new = np.ones(n, bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        again = ~new
+        again[1:] &= (p[1:] != p[:-1]).any(axis=1)
+        heads = np.flatnonzero(new)
+        slot = (a[heads] >> np.uint64(64 - self.BITS)).astype(np.int64)
+        known = (self.h[slot, 0] == a[heads]) & (self.h[slot, 1] == b[heads])
+        had, mine = self.place[slot], p[heads]
+        differ = had != mine
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), 0)
+        row = np.arange(len(heads))
+        same = known & ~differ.any(axis=1)
+        later = known & (had[row, first] < mine[row, first])
+        keep = ~later
+        self.h[slot[keep], 0], self.h[slot[keep], 1], self.place[slot[keep]] = a[heads][keep], b[heads][keep], mine[keep]
+        lead = np.zeros(n, bool)
+        lead[order[heads[~same & ~later]]] = True
+        sure = np.zeros(n, bool)
+        sure[order[np.flatnonzero(again)]] = True
+        sure[order[heads[later]]] = True
+        return lead, sure
+
+
+_NULL_ID = -(1 << 63)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a task: those that go to their groups, with bands, and repeats for certain, without and under keys of their own."""
+    seen = _Seen()
     for part in tk.chunks(batches):
         raw = part["text"]
         offsets, data = tk.buffers(raw)
@@ -111,10 +159,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[:] = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 for r in range(ROWS):
                     bands = tk.mix(bands * np.uint64(31) + sig[:, :, r])
-        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BANDS), len(h1), [None, pa.py_buffer(np.ascontiguousarray(bands).tobytes())])
-        rows = pa.array(doc)
+        ids = pc.fill_null(part["doc_id"], _NULL_ID).to_numpy()
+        th = part["th"].to_numpy()
+        lead, sure = seen.repeats(h1, h2, np.stack([ids[doc], th[doc], number], axis=1))
+        # a repeat's key is its place, so that equal lines don't meet in one task
+        own = tk.mix(th[doc].view(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        h1[sure] = own[sure]
+        pick = np.flatnonzero(lead | sure)
+        if not len(pick):
+            continue
+        sizes = np.where(lead[pick], 8 * BANDS, 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        held = np.flatnonzero(lead[pick])
+        packed = pa.Array.from_buffers(pa.binary(), len(pick), [pa.py_buffer(np.packbits(lead[pick], bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(bands[pick[held]]).tobytes())])
+        rows = pa.array(doc[pick])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(tk.signed(h1)), pa.array(tk.signed(h2)), part["doc_id"].take(rows), part["th"].take(rows), pa.array(number.astype(np.int32)), packed.cast(pa.binary())],
+            [pa.array(tk.signed(h1[pick])), pa.array(tk.signed(h2[pick])), part["doc_id"].take(rows), part["th"].take(rows), pa.array(number[pick].astype(np.int32)), packed],
             ["h1", "h2", "doc_id", "th", "line", "bands"],
         )
 
@@ -310,11 +370,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     need = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("text is not null")
     lines = need.mapInArrow(_lines, "h1 long, h2 long, doc_id long, th long, line int, bands binary")
     place = F.struct("doc_id", "th", "line")
-    same = Window.partitionBy("h1", "h2").orderBy("doc_id", "th", "line")  # one sort for both
+    same = Window.partitionBy("h1", "h2", F.isnull("bands")).orderBy("doc_id", "th", "line")  # one sort for both
     marked = lines.withColumn("first", F.first(place).over(same)).withColumn("is_first", F.col("first") == place)
-    marked = marked.withColumn("lead", F.row_number().over(same) == 1)
+    marked = marked.withColumn("lead", F.col("bands").isNotNull() & (F.row_number().over(same) == 1))
     marked = checkpoint(
-        marked.filter("lead or not is_first").select("doc_id", "th", "line", F.when(F.col("lead"), F.col("bands")).alias("bands"), F.monotonically_increasing_id().alias("lid"))
+        marked.filter("lead or bands is null or not is_first").select("doc_id", "th", "line", F.when(F.col("lead"), F.col("bands")).alias("bands"), F.monotonically_increasing_id().alias("lid"))
     )
     release(spark)
     exact = marked.filter("bands is null").select("doc_id", "th", "line")

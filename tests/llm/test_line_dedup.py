@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -119,3 +120,35 @@ def test_repeated_rows_nulls_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert ld.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_repeats_in_a_task_are_certain(monkeypatch, bits):
+    """First places always reach their groups, all others are repeats or reach them too; however small the table."""
+    monkeypatch.setattr(ld._Seen, "BITS", bits)
+    r = np.random.default_rng(bits)
+    seen, lead, sure, every = ld._Seen(), set(), set(), {}
+    hashes = r.integers(0, 1 << 63, (40, 2)).astype(np.uint64) * np.uint64(2)
+    for _ in range(30):
+        n = int(r.integers(1, 60))
+        k = r.integers(0, 40, n)
+        place = np.stack([r.integers(-3, 200, n), r.integers(0, 2, n), r.integers(0, 4, n)], axis=1)
+        a, b = seen.repeats(hashes[k, 0], hashes[k, 1], place)
+        assert not (a & b).any()
+        for i, p in zip(k.tolist(), map(tuple, place.tolist())):
+            every.setdefault(i, set()).add(p)
+        lead |= {(int(k[i]), tuple(place[i].tolist())) for i in np.flatnonzero(a)}
+        sure |= {(int(k[i]), tuple(place[i].tolist())) for i in np.flatnonzero(b)}
+    for i, places in every.items():
+        assert (i, min(places)) in lead and (i, min(places)) not in sure
+        assert all((i, p) in lead or (i, p) in sure for p in places)
+
+
+def test_one_line_in_very_many_documents(spark):
+    """A line in each of 120,000 documents: one stays, and its group gets few rows."""
+    df = spark.range(120_000).selectExpr("id doc_id", "concat('the same line in all of the documents\n', 'number ', sha2(cast(id as string), 256)) text", "'x' lang")
+    lines = df.selectExpr("doc_id", "text", "xxhash64(text) th").mapInArrow(ld._lines, "h1 long, h2 long, doc_id long, th long, line int, bands binary")
+    most = lines.groupBy("h1", "h2").count().agg({"count": "max"}).first()[0]
+    assert most <= 4 * df.rdd.getNumPartitions()
+    gone = ld.dropped_lines(df)
+    assert gone.filter("line = 0").count() == 119_999 and gone.filter("line = 0 and doc_id = 0").count() == 0
