@@ -2,14 +2,17 @@
 
 1. Every line that is not blank gets two 64-bit hashes and ``BANDS`` band
    hashes of a MinHash signature over its ``SHINGLE``-character shingles (lower
-   case). One shuffle on the line hashes finds exact repeats; the first
-   occurrence by (doc_id, line number) speaks for all.
+   case). A task that meets a line again knows it for a repeat; one shuffle of
+   the others on the line hashes finds all exact repeats. The first occurrence by
+   (doc_id, line number) speaks for all.
 2. Lines that share a band are candidates (``BANDS`` bands of ``ROWS`` rows: a
    pair at the threshold is met with probability 0.96, at 0.8 with 0.997).
    Buckets with the same members are looked at once.
 3. In each bucket the exact Jaccard similarity of shingle sets decides, by
    breadth-first search, so that the edges connect exactly what all pairs at or
-   over ``THRESHOLD`` in the bucket connect; there is no cap on its size.
+   over ``THRESHOLD`` in the bucket connect; there is no cap on its size. One of
+   more than ``HOT`` lines is split first, by the shingles that lines so similar
+   must share (a prefix filter, the rarest shingles first): no pair is lost.
 4. Distributed union-find joins the edges; the first occurrence in each
    component stays, its other lines go.
 
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +47,14 @@ BANDS = 8
 ROWS = 3
 THRESHOLD = 0.7
 _MULTS = tk.hash_params(BANDS * ROWS, 2)
+#: Lines of a bucket beyond which it is split by the shingles its lines may share.
+HOT = 50_000
 #: Buckets up to this size are compared all with all at once; larger ones by search.
 _SMALL = 8
 #: Bytes of lines whose small buckets are compared at once.
 _BLOCK_BYTES = 1 << 19
+#: Bytes of lines of hot buckets whose shingles are listed at once.
+CHUNK_HOT = 1 << 17
 _TAG = 20  # bits for the number of a line or pair beside its shingle hashes
 
 
@@ -363,6 +370,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tk.give_back()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lid, size, s): the distinct shingles of rows (key, lid, line), and how many each line has."""
+    for part in tk.chunks(batches, "line", CHUNK_HOT):
+        values, bounds = _Sets(part["line"]).gather(np.arange(part.num_rows))[1:]
+        n = np.diff(bounds)
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([part["key"].take(row), part["lid"].take(row), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(tk.signed(values))], ["key", "lid", "size", "s"])
+
+
+def _split(hot: DataFrame, line_text: DataFrame) -> DataFrame:
+    """(key, lid): the rows of hot buckets in buckets of the shingles that similar lines must share.
+
+    If the shingles of a bucket are put in one order, the rarest first, two sets
+    with a Jaccard similarity of the threshold share one of their first
+    n - ceil(threshold * n) + 1. So no pair is lost, and what all lines of the
+    bucket have in common makes no bucket unless a line consists of it.
+    """
+    tokens = checkpoint(hot.select("key", "lid").join(line_text, "lid").select("key", "lid", "line").mapInArrow(_tokens, "key long, lid long, size int, s long"))
+    often = tokens.groupBy("key", "s").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("key", "lid").orderBy("c", "s"))
+    first = tokens.join(often, ["key", "s"]).withColumn("rank", rank)
+    first = first.filter((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(THRESHOLD) - F.lit(1e-9)) + 1) & (F.col("c") > 1))
+    rows = first.select(F.xxhash64("key", "s").alias("key"), "lid")
+    marks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lid").alias("lo"), F.max("lid").alias("hi"), _sum_of_ids().alias("s")).filter("n > 1")
+    one = marks.groupBy("n", "lo", "hi", "s").agg(F.min("key").alias("key")).select("key")
+    return rows.join(one, "key")
+
+
+def _sum_of_ids() -> Column:
+    return F.sum(F.xxhash64("lid").bitwiseAND(F.lit((1 << 40) - 1)))
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, line) of every line to remove; th is xxhash64 of the document's text."""
     small_batches(docs.sparkSession)
@@ -383,8 +422,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     per = Window.partitionBy("key")
     met = keys.withColumn("n", F.count(F.lit(1)).over(per)).filter("n > 1")
     # buckets with the same members need one look: they agree in number, least, greatest and the sum of mixed ids
-    met = met.select("key", "lid", F.struct("n", F.min("lid").over(per).alias("lo"), F.max("lid").over(per).alias("hi"), F.sum(F.xxhash64("lid").bitwiseAND(F.lit((1 << 40) - 1))).over(per).alias("s")).alias("mark"))
-    met = checkpoint(met.groupBy("mark", "lid").agg(F.min("key").alias("key")).select("key", "lid"))
+    met = met.select("key", "lid", F.struct("n", F.min("lid").over(per).alias("lo"), F.max("lid").over(per).alias("hi"), _sum_of_ids().over(per).alias("s")).alias("mark"))
+    met = checkpoint(met.groupBy("mark", "lid").agg(F.min("key").alias("key")).select("key", "lid", F.col("mark.n").alias("n")))
     release(spark)
     wanted = met.select("lid").distinct().join(heads.select("lid", "doc_id", "th", "line"), "lid")
     per_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "lid")).alias("want"))
@@ -393,7 +432,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     # the side of wanted lines is the small one of each partition: no sort of the texts
     joined = packed.join(at.hint("shuffle_hash"), packed["doc_id"].eqNullSafe(at["w_id"]) & (packed["th"] == at["w_th"])).select("z", "want")
     line_text = joined.mapInArrow(_fetch, "lid long, line string").dropDuplicates(["lid"])
-    rows = met.join(line_text, "lid").select("key", "lid", "line").repartition("key").sortWithinPartitions("key", "lid")
+    if not met.filter(F.col("n") > HOT).isEmpty():
+        line_text = checkpoint(line_text)
+        met = met.filter(F.col("n") <= HOT).select("key", "lid").unionByName(_split(met.filter(F.col("n") > HOT), line_text))
+    rows = met.select("key", "lid").join(line_text, "lid").select("key", "lid", "line").repartition("key").sortWithinPartitions("key", "lid")
     edges = checkpoint(rows.mapInArrow(_verify, "a long, b long"))
     release(spark)
     groups = connected_components(edges).join(heads.select(F.col("lid").alias("node"), "doc_id", "th", "line"), "node")

@@ -152,3 +152,23 @@ def test_one_line_in_very_many_documents(spark):
     assert most <= 4 * df.rdd.getNumPartitions()
     gone = ld.dropped_lines(df)
     assert gone.filter("line = 0").count() == 119_999 and gone.filter("line = 0 and doc_id = 0").count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 4])
+def test_split_buckets_lose_no_pair(spark, monkeypatch, hot):
+    """Edges of buckets split by shared shingles connect what those of whole buckets connect."""
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: sorted(map(tuple, ld.dropped_lines(df).select("doc_id", "line").collect()), key=str)
+    want = run()
+    monkeypatch.setattr(ld, "HOT", hot)
+    assert run() == want and len(want) > 20
+
+
+def test_a_bucket_of_many_unlike_lines(spark, monkeypatch):
+    """Thousands of lines that share half their text but aren't similar: split, each meets few others."""
+    monkeypatch.setattr(ld, "HOT", 500)
+    same = "what all of these lines have in common at their beginning, word for word; "
+    df = spark.range(6000).selectExpr("id doc_id", f"concat('{same}', sha2(cast(floor(id / 2) as string), 256), if(id % 2 = 0, ' a', ' b')) text", "'x' lang")
+    gone = ld.dropped_lines(df).select("doc_id").collect()
+    assert {r.doc_id for r in gone} == set(range(1, 6000, 2))
