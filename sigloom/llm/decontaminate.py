@@ -6,10 +6,12 @@ a benchmark text is a test n-gram; a text shorter than that is one n-gram of its
 own length if it has ``MIN_WORDS`` words. A document's word is contaminated if it
 lies in a window that equals a test n-gram, word by word.
 
-The set of test n-gram hashes is broadcast while it has at most
-``BROADCAST_GRAMS`` entries (counted first); beyond, the documents' window
-hashes are joined with it by a shuffle. Either way a hit is verified on the
-words themselves. Contaminated spans are cut out; a document of which
+The test n-grams are broadcast, as sorted hashes with their words in one buffer,
+while they take at most ``BROADCAST_BYTES`` (measured first). Beyond, a Bloom
+filter of their hashes is broadcast, ``BLOOM_BITS`` bits however many they are,
+and only windows that pass it are joined with the n-grams by a shuffle. Either
+way a hit is verified on the words themselves, and the rows are the same. Texts
+of fewer than ``MIN_WORDS`` words are no n-gram: they would match ordinary prose. Contaminated spans are cut out; a document of which
 ``DOC_SHARE`` or more is contaminated goes as a whole.
 
 Defined results: null and empty texts have no windows and stay; null doc_ids
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
 from sigloom.llm.columns import rest, unpacked
-from sigloom.llm.graph import small_batches
+from sigloom.llm.graph import checkpoint, small_batches
 
 N = 8
 MIN_WORDS = 4
 DOC_SHARE = 0.5
-BROADCAST_GRAMS = 5_000_000
+BROADCAST_BYTES = 32 << 20
+#: 32 MB of bits: 16 for each of 16 million n-grams; with more, more windows pass for nothing.
+BLOOM_BITS = 28
 
 
 def word_breaks(data: np.ndarray) -> np.ndarray:
@@ -112,21 +116,43 @@ def _spans(hits: np.ndarray, lengths: np.ndarray, items: list) -> list[tuple[int
 _SPAN_TYPE = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("item_id", pa.int64())]))
 
 
-def find_spans(texts: pa.Array, hashes: dict[int, np.ndarray], words: dict[tuple[int, str], int | None]) -> tuple[pa.Array, pa.Array]:
-    """Contaminated spans of each text, and its number of words. hashes: sorted, by n-gram length; words: item by (length, n-gram)."""
+class Grams:
+    """Test n-grams by length: sorted hashes, and the words and item of each."""
+
+    def __init__(self, table: pa.Table):
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, bytes, list]] = {}
+        k, h = table["k"].to_numpy(), table["h"].to_numpy()
+        for n in np.unique(k).tolist():
+            rows = np.flatnonzero(k == n)
+            part = table.take(pa.array(rows[np.argsort(h[rows], kind="stable")]))
+            offsets, data = tk.buffers(part["words"].combine_chunks())
+            self.by[n] = (part["h"].to_numpy(), offsets, data.tobytes(), part["item_id"].to_pylist())
+
+    def items(self, k: int, at: int, h: int, words: bytes) -> list:
+        """The item of the n-gram of these words, if it is one; ``at`` is where its hash begins."""
+        known, offsets, data, items = self.by[k]
+        while at < len(known) and known[at] == h:
+            if data[offsets[at] : offsets[at + 1]] == words:
+                return [items[at]]
+            at += 1
+        return []
+
+
+def find_spans(texts: pa.Array, grams: Grams) -> tuple[pa.Array, pa.Array]:
+    """Contaminated spans of each text, and its number of words."""
     w = NormWords(texts)
     per: dict[int, list] = {}
-    for k, known in hashes.items():
+    for k, (known, *_) in grams.by.items():
         at, h = w.windows(k)
-        if not len(at) or not len(known):
+        if not len(at):
             continue
         h = tk.signed(h)
-        pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        for i in at[known[pos] == h]:
-            gram = b" ".join(w.words_at(i, k)).decode()
-            if (k, gram) in words:
+        pos = np.searchsorted(known, h)
+        hit = np.flatnonzero(known[np.minimum(pos, len(known) - 1)] == h)
+        for i, p, x in zip(at[hit].tolist(), pos[hit].tolist(), h[hit].tolist()):
+            for item in grams.items(k, p, x, b" ".join(w.words_at(i, k))):
                 d = int(w.doc[i])
-                per.setdefault(d, []).append((int(i - w.first[d]), k, words[k, gram]))
+                per.setdefault(d, []).append((i - int(w.first[d]), k, item))
     rows = [None] * len(texts)
     for d, found in per.items():
         found.sort(key=lambda x: x[:2])
@@ -137,41 +163,65 @@ def find_spans(texts: pa.Array, hashes: dict[int, np.ndarray], words: dict[tuple
 
 def _scanner(bc) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words = bc.value
         for part in tk.chunks(batches):
-            spans, total = find_spans(part["text"], hashes, words)
+            spans, total = find_spans(part["text"], bc.value)
             yield pa.RecordBatch.from_arrays([*part.columns, spans, total], [*part.schema.names, "spans", "total_words"])
 
     return scan
 
 
-def _lookup(rows: list) -> tuple[dict[int, np.ndarray], dict]:
-    words = {(r.k, r.words): r.item_id for r in rows}
-    by: dict[int, list[int]] = {}
-    for r in rows:
-        by.setdefault(r.k, []).append(r.h)
-    return {k: np.unique(np.array(v, np.int64)) for k, v in by.items()}, words
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """The four places of each hash in a Bloom filter."""
+    h = h.view(np.uint64)
+    step = tk.mix(h) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([tk.mix(h + np.uint64(j) * step) >> np.uint64(64 - bits) for j in range(4)], axis=1).astype(np.int64)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in tk.chunks(batches):
-        w = NormWords(part["text"])
-        for k in range(MIN_WORDS, N + 1):
-            at, h = w.windows(k)
-            doc = w.doc[at]
-            yield pa.RecordBatch.from_arrays([part["row"].take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(tk.signed(h))], ["row", "at", "k", "h"])
+def _bloom_words(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch["h"].to_numpy(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "mask"])
+
+    return run
+
+
+def bloom(grams: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the hashes: masks are joined before and after the shuffle, so it has at most 2**bits bits anywhere."""
+    words = grams.select("h").mapInArrow(_bloom_words(bits), "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out
+
+
+def _window_rows(bc, lengths: list[int], bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = bc.value
+        for part in tk.chunks(batches):
+            w = NormWords(part["text"])
+            for k in lengths:
+                at, h = w.windows(k)
+                places = _bits(h, bits)
+                hit = np.flatnonzero(((may[places >> 6] >> (places & 63)) & 1).all(axis=1))
+                at, h = at[hit], h[hit]
+                doc = w.doc[at]
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part["r1"].take(rows), part["r2"].take(rows), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(tk.signed(h))], ["r1", "r2", "at", "k", "h"])
+
+    return run
 
 
 def _check_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in tk.chunks(batches):
         w = NormWords(part["text"])
         rows = []
-        for d, hits in enumerate(part["hits"].to_pylist()):
+        for d, hits in enumerate(part["__hits"].to_pylist()):
             ok = [h for h in hits or [] if b" ".join(w.words_at(w.first[d] + h["at"], h["k"])).decode() == h["words"]]
             ok.sort(key=lambda x: (x["at"], x["k"]))
             spans = _spans(np.array([x["at"] for x in ok]), np.array([x["k"] for x in ok]), [x["item_id"] for x in ok])
             rows.append([{"first_word": a, "n_words": n, "item_id": i} for a, n, i in spans] or None)
-        names = [n for n in part.schema.names if n not in ("hits", "row")]
+        names = [n for n in part.schema.names if n != "__hits"]
         yield pa.RecordBatch.from_arrays([*(part[n] for n in names), pa.array(rows, _SPAN_TYPE), pa.array(np.diff(w.first).astype(np.int32))], [*names, "spans", "total_words"])
 
 
@@ -182,18 +232,26 @@ def _with(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + _ADDED
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """docs with ``spans`` (null if clean) and ``total_words``; docs needs the column text only."""
+def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with ``spans`` (null if clean) and ``total_words``; docs needs the column text only, and none of these names."""
     small_batches(docs.sparkSession)
-    grams = test_grams(benchmark)
-    if grams.count() <= limit:
-        bc = docs.sparkSession.sparkContext.broadcast(_lookup(grams.collect()))
-        return docs.mapInArrow(_scanner(bc), _with(docs))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("row", F.sha2(text, 256))  # equal texts share their hits
-    windows = keyed.select("row", "text").filter("text is not null").mapInArrow(_window_rows, "row string, at int, k int, h long")
-    hits = windows.join(grams, ["h", "k"]).groupBy("row").agg(F.collect_set(F.struct("at", "k", "item_id", "words")).alias("hits"))
-    return keyed.join(hits, "row", "left").select(*docs.columns, "row", "hits").mapInArrow(_check_hits, _with(docs))
+    context = docs.sparkSession.sparkContext
+    grams = checkpoint(test_grams(benchmark))
+    size = grams.agg(F.coalesce(F.sum(F.octet_length("words") + 24), F.lit(0))).first()[0]
+    if size <= limit:
+        return docs.mapInArrow(_scanner(context.broadcast(Grams(grams.toArrow()))), _with(docs))
+    lengths = sorted(r.k for r in grams.select("k").distinct().collect())  # MIN_WORDS..N at most
+    may = context.broadcast(bloom(grams, BLOOM_BITS))
+    # equal texts share their hits; those without words have none, and none of their own keys
+    two = (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    texts = docs.select(two[0].alias("r1"), two[1].alias("r2"), "text").filter("text != ''")
+    windows = texts.mapInArrow(_window_rows(may, lengths, BLOOM_BITS), "r1 long, r2 long, at int, k int, h long")
+    found = windows.join(grams, ["h", "k"]).groupBy("r1", "r2").agg(F.collect_set(F.struct("at", "k", "item_id", "words")).alias("__hits"))
+    found = found.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), "__hits")
+    alone = F.xxhash64(F.monotonically_increasing_id())
+    keyed = docs.withColumn("__k1", F.when(F.col("text") != "", two[0]).otherwise(alone)).withColumn("__k2", two[1])
+    joined = keyed.join(found, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left")
+    return joined.select(*docs.columns, "__hits").mapInArrow(_check_hits, _with(docs))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -61,11 +61,13 @@ def corpus(seed):
     return docs + [(100, None), (101, "")], items
 
 
-@pytest.mark.parametrize("limit", [dc.BROADCAST_GRAMS, 0])
+@pytest.mark.parametrize("limit", [dc.BROADCAST_BYTES, -1])
 @pytest.mark.parametrize("seed", [0, 1])
 def test_equals_brute_force_either_way(spark, seed, limit, monkeypatch):
     docs, items = corpus(seed)
+    docs += docs[:7]  # repeated rows
     monkeypatch.setattr(dc.scan, "__defaults__", (limit,))
+    monkeypatch.setattr(dc, "BLOOM_BITS", 14)
     got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute(docs, items)
 
