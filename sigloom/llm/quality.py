@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm import textkernel as tk
 from sigloom.llm.columns import rest, unpacked
-from sigloom.llm.graph import small_batches
+from sigloom.llm.graph import checkpoint, small_batches
 
 KEEP = 0.5
 ROUNDS = 100
@@ -45,12 +45,16 @@ _STOP = (
     "de la le les des et en un une du que qui est pour dans sur par pas au avec "
     "el los las y una por con para del se su al lo como más"
 ).split()
-LETTER, UPPER, SYMBOL, PIPE, BANG, STOPMARK, SPACE, OTHER = range(8)
+LETTER, UPPER, SYMBOL, PIPE, BANG, STOPMARK, SPACE, OTHER, FOREIGN = range(9)
 _CLASS = np.full(256, OTHER, np.uint8)
 for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = SPACE if _c.isspace() else UPPER if _c.isupper() else LETTER if _c.isalpha() else PIPE if _c == "|" else BANG if _c == "!" else STOPMARK if _c in ".?" else SYMBOL if _c in "#$%&*~^=+{}<>[]\\_@`" else OTHER
 _CLASS[128:] = LETTER
+#: Bytes that begin a character beyond the Latin letters.
+_CLASS[0xC8:] = FOREIGN
+#: Share of such bytes from which on rules that know words and marks of Latin scripts abstain.
+OTHER_SCRIPT = 0.15
 
 
 def _stop_hashes() -> np.ndarray:
@@ -66,9 +70,9 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     offsets, data = tk.buffers(texts)
     rows = len(offsets) - 1
     size = np.diff(offsets)
-    at = np.repeat(np.arange(rows) * 8, size)
+    at = np.repeat(np.arange(rows) * 9, size)
     at += _CLASS[data]
-    per = np.bincount(at, minlength=rows * 8).reshape(rows, 8)
+    per = np.bincount(at, minlength=rows * 9).reshape(rows, 9)
     words = tk.Words(*tk.buffers(pc.utf8_lower(texts)), tk.IS_BREAK)
     n = np.diff(words.first)
     known = STOP[np.minimum(np.searchsorted(STOP, words.hash), len(STOP) - 1)] == words.hash
@@ -79,9 +83,10 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     count = lambda where: np.bincount(where, minlength=rows)
     full = np.maximum(n, 1)
     visible = np.maximum(size - per[:, SPACE], 1)
-    letters = per[:, LETTER] + per[:, UPPER]
+    letters = per[:, LETTER] + per[:, UPPER] + per[:, FOREIGN]
     return {
         "words": n,
+        "foreign": per[:, FOREIGN] / np.maximum(letters, 1),
         "letters": letters / visible,
         "upper": per[:, UPPER] / np.maximum(letters, 1),
         "symbols": (per[:, SYMBOL] + per[:, PIPE]) / full,
@@ -99,9 +104,13 @@ def _rule(value: np.ndarray, good: np.ndarray, bad: np.ndarray, able: np.ndarray
     return np.where(able & bad, -1, np.where(able & good, 1, 0))
 
 
-#: name -> votes of a batch, from its measures.
+def _latin(m: dict[str, np.ndarray], least: int) -> np.ndarray:
+    return (m["words"] >= least) & (m["foreign"] < OTHER_SCRIPT)
+
+
+#: name -> votes of a batch, from its measures. A rule may know one side only: shortness alone speaks against no text.
 RULES = {
-    "long_enough": lambda m: _rule(m["words"], m["words"] >= 50, m["words"] < 1, m["words"] >= 0),
+    "long_enough": lambda m: _rule(m["words"], m["words"] >= 50, np.zeros(len(m["words"]), bool), m["words"] >= 0),
     "letters": lambda m: _rule(m["letters"], m["letters"] >= 0.9, m["letters"] < 0.75, m["words"] >= 3),
     "few_capitals": lambda m: _rule(m["upper"], m["upper"] <= 0.2, m["upper"] >= 0.5, m["words"] >= 5),
     "few_symbols": lambda m: _rule(m["symbols"], m["symbols"] <= 0.05, m["symbols"] >= 0.5, m["words"] >= 3),
@@ -109,9 +118,9 @@ RULES = {
     "few_bangs": lambda m: _rule(m["bangs"], m["bangs"] <= 0.02, m["bangs"] >= 0.3, m["words"] >= 5),
     "few_repeats": lambda m: _rule(m["repeats"], m["repeats"] <= 0.05, m["repeats"] >= 0.3, m["words"] >= 10),
     "few_grams_again": lambda m: _rule(m["grams"], m["grams"] <= 0.1, m["grams"] >= 0.5, m["words"] >= 20),
-    "function_words": lambda m: _rule(m["stops"], m["stops"] >= 0.1, m["stops"] < 0.02, m["words"] >= 30),
-    "word_length": lambda m: _rule(m["length"], (m["length"] >= 3) & (m["length"] <= 10), (m["length"] < 1.5) | (m["length"] > 15), m["words"] >= 10),
-    "sentences": lambda m: _rule(m["marks"], (m["marks"] >= 0.012) & (m["marks"] <= 0.3), (m["marks"] < 0.002) | (m["marks"] >= 0.5), m["words"] >= 60),
+    "function_words": lambda m: _rule(m["stops"], m["stops"] >= 0.1, m["stops"] < 0.02, _latin(m, 30)),
+    "word_length": lambda m: _rule(m["length"], (m["length"] >= 3) & (m["length"] <= 10), (m["length"] < 1.5) | (m["length"] > 15), _latin(m, 10)),
+    "sentences": lambda m: _rule(m["marks"], (m["marks"] >= 0.012) & (m["marks"] <= 0.3), (m["marks"] < 0.002) | (m["marks"] >= 0.5), _latin(m, 60)),
 }
 
 
@@ -169,7 +178,10 @@ def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def posteriors(docs: DataFrame) -> dict[int, float]:
     """Posterior of each vote pattern in the corpus; from the counts over all documents."""
     small_batches(docs.sparkSession)
-    codes = docs.select("text").filter("text is not null").mapInArrow(_code_batches, "code int")
+    return _posteriors(docs.select("text").filter("text is not null").mapInArrow(_code_batches, "code int"))
+
+
+def _posteriors(codes: DataFrame) -> dict[int, float]:
     rows = sorted((r["code"], r["n"]) for r in codes.filter(F.col("code") != NO_WORDS).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())
     seen = np.array([c for c, _ in rows], np.int64)
     return dict(zip(seen.tolist(), fit(seen, np.array([n for _, n in rows], float)).tolist()))
@@ -177,13 +189,15 @@ def posteriors(docs: DataFrame) -> dict[int, float]:
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, posterior, good_votes, bad_votes) of every document."""
-    by = posteriors(docs)
     spark = docs.sparkSession
+    small_batches(spark)
+    # the texts are read once: what is left of each is its code
+    codes = checkpoint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_code_batches, "doc_id long, code int"))
+    by = _posteriors(codes)
     seen = np.array(sorted(by), np.int64)
     votes = votes_of(seen) if len(seen) else np.zeros((0, len(RULES)), np.int64)
     rows = [(int(c), float(round(by[c], 6)), int((v > 0).sum()), int((v < 0).sum())) for c, v in zip(seen.tolist(), votes)]
     table = spark.createDataFrame(rows, "code int, posterior double, good_votes int, bad_votes int")
-    codes = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_code_batches, "doc_id long, code int")
     # the table has 3**len(RULES) rows at most
     out = codes.join(F.broadcast(table), "code", "left")
     return out.select("doc_id", F.coalesce("posterior", F.lit(0.0)).alias("posterior"), F.coalesce("good_votes", F.lit(0)).alias("good_votes"), F.coalesce("bad_votes", F.lit(0)).alias("bad_votes"))

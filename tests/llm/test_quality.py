@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sigloom.llm import quality as q
@@ -70,3 +71,13 @@ def test_rows_of_all_sorts(spark):
 
 def test_fit_of_nothing():
     assert len(q.fit(np.zeros(0, np.int64), np.zeros(0))) == 0
+
+
+def test_rules_abstain_on_scripts_they_do_not_know():
+    russian = "Утром жители города шли к реке и говорили о хлебе который они испекли ночью. День был похож на другие и никто не спешил домой до темноты. Старик рассказывал детям о море и кораблях которые он видел в молодости далеко на юге. Потом они пели песни и смотрели на огни в окнах домов за рекой. Ветер нёс листья по улице и пахло дождём яблоками и дымом. Вечером все собрались за столом и долго слушали рассказы гостей о других странах и людях."
+    chinese = "早晨城里的人走到河边谈论他们做的面包。那一天和平常一样没有人急着回家。老人给孩子们讲大海和他年轻时见过的船的故事。" * 3
+    names = list(q.RULES)
+    for text in (russian, chinese):
+        votes = q.votes_of(q.vote_codes(pa.array([text])))[0]
+        assert [votes[names.index(n)] for n in ("function_words", "word_length", "sentences")] == [0, 0, 0]
+        assert (votes >= 0).all()
