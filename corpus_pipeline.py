@@ -1,9 +1,17 @@
 """The corpus pipeline: five stages over documents, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them
-in order. All but the last return the columns of documents; the last adds
-piece_ids and exact. Nulls, empty texts and empty tables pass through each stage
-as its operator's docstring says.
+in order. All but the last return the columns of documents, extra ones included
+and whatever their names; the last adds piece_ids and exact.
+
+In every stage rows are judged by doc_id and text: repeated rows (both equal)
+share their fate, ties go to the least doc_id, a null doc_id is a value like
+others, very long texts are read whole, and an empty table gives an empty one.
+A null or an empty text goes in quality_rules, since it has no words; each later
+stage by itself leaves it as it is.
+
+Line dedup comes before near-dedup, so much of a near copy is gone before it is
+compared; what near_dedup then finds are copies whose lines differ throughout.
 """
 
 from __future__ import annotations
@@ -11,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.llm.decontaminate import decontaminate
+from sigloom.llm.graph import checkpoint
 from sigloom.llm.line_dedup import line_dedup
 from sigloom.llm.near_dedup import filter_near
 from sigloom.llm.quality import filter_quality
@@ -19,27 +28,27 @@ from sigloom.session import read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality is too low go."""
+    """Documents whose posterior quality is too low go, and those without words."""
     return filter_quality(docs)
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of similar lines stays."""
+    """One line of each group of similar lines stays; a document that loses all its lines goes. Blank lines, null and empty texts stay."""
     return line_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the least doc_id. Documents without words or doc_id are in no group."""
     return filter_near(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that mostly consist of them go."""
+    """Benchmark passages are cut out; documents that mostly consist of them go. Null and empty texts stay."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and whether they decode to its text."""
+    """The ids of every document, and whether they decode to its text; both null for a null text."""
     return encode(docs)
 
 
@@ -52,10 +61,16 @@ STAGES = [
 ]
 
 
+#: Stages whose result the next one reads more than once.
+_READ_AGAIN = {"quality_rules", "line_dedup"}
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name in _READ_AGAIN:
+            docs = checkpoint(docs)
     return docs
 
 
