@@ -120,8 +120,20 @@ def _fingerprint(words: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document of MIN_WORDS words or more: fingerprints and number of words."""
+    for part in tk.chunks(batches):
+        words = tk.Words(*tk.buffers(part["text"]))
+        n = np.diff(words.first)
+        rows = np.flatnonzero(n >= MIN_WORDS)
+        one, two = _fingerprint(words)
+        pick = pa.array(rows)
+        cols = [part["doc_id"].take(pick), part["th"].take(pick), pa.array(tk.signed(one[rows])), pa.array(tk.signed(two[rows])), pa.array(n[rows].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "f1", "f2", "n"])
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document of MIN_WORDS words or more: fingerprints, number of words, anchors as (hash, word) pairs."""
+    """Per document of MIN_WORDS words or more: fingerprints, anchors as (hash, word) pairs."""
     for part in tk.chunks(batches):
         words = tk.Words(*tk.buffers(part["text"]))
         n = np.diff(words.first)
@@ -132,8 +144,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = (at - words.first[words.doc[at]]).astype(np.int32)
         pick = pa.array(rows)
         off = pa.array(bound.astype(np.int32))
-        cols = [part["doc_id"].take(pick), part["th"].take(pick), pa.array(tk.signed(one[rows])), pa.array(tk.signed(two[rows])), pa.array(n[rows].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(off, pa.array(tk.signed(h))), pa.ListArray.from_arrays(off, pa.array(place))], ["doc_id", "th", "f1", "f2", "n", "h", "at"])
+        cols = [part["doc_id"].take(pick), part["th"].take(pick), pa.array(tk.signed(one[rows])), pa.array(tk.signed(two[rows]))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(off, pa.array(tk.signed(h))), pa.ListArray.from_arrays(off, pa.array(place))], ["doc_id", "th", "f1", "f2", "h", "at"])
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,34 +359,35 @@ def spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     need = _numbered(docs)
-    seen = checkpoint(need.mapInArrow(_survey, "doc_id long, th long, f1 long, f2 long, n int, h array<long>, at array<int>"))
     # of documents with the same words the first speaks for all; equal ones meet before the shuffle
-    lone = seen.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "h", "at")).alias("m"))
+    lone = need.mapInArrow(_survey, "doc_id long, th long, f1 long, f2 long, h array<long>, at array<int>").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th", "h", "at")).alias("m"))
     lone = checkpoint(lone.select("f1", "f2", "m.doc_id", "m.th", "m.h", "m.at"))
     first = lone.select("f1", "f2", F.struct("doc_id", "th").alias("first"))
-    again = seen.select("doc_id", "th", "f1", "f2", "n").join(first, ["f1", "f2"]).filter(F.col("first") != F.struct("doc_id", "th"))
+    again = need.mapInArrow(_prints, "doc_id long, th long, f1 long, f2 long, n int").join(first, ["f1", "f2"]).filter(F.col("first") != F.struct("doc_id", "th"))
     whole = again.select("doc_id", "th", F.lit(0).alias("start_word"), F.col("n").alias("n_words"), F.col("first.doc_id").alias("src_doc_id"), F.lit(0).alias("src_word"), F.col("n").alias("total_words")).distinct()
     each = lone.select("doc_id", "th", F.explode(F.arrays_zip("h", "at")).alias("a")).select("doc_id", "th", "a.h", "a.at")
     often = checkpoint(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     release(spark)
 
-    def around(anchors: DataFrame) -> DataFrame:
-        """The texts with some of these anchors, and which."""
-        met = each.join(anchors.select("h"), "h")
-        want = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("want"))
-        ids = want.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
-        joined = need.join(ids, need["doc_id"].eqNullSafe(ids["w_id"]) & (need["th"] == ids["w_th"]))
-        return joined.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), "th", "text", "want")
-
-    snip = around(often.filter(F.col("c") <= HOT)).mapInArrow(_snippets, "h long, did long, th long, lo int, total int, words binary")
-    found = checkpoint(snip.repartition("h").sortWithinPartitions("h", "did", "th", "lo").mapInArrow(_repeats, "did long, th long, total int, start int, n int, src long, src_at int"))
-    hot = often.filter(F.col("c") > HOT)
-    if not hot.isEmpty():
-        near = checkpoint(around(hot).mapInArrow(_windows, "h long, did long, th long, total int, start int, w long"))
+    met = each.join(often, "h").select("doc_id", "th", F.struct("h", "at", (F.col("c") > HOT).alias("hot")).alias("a"))
+    want = met.groupBy("doc_id", "th").agg(F.collect_list("a").alias("want"))
+    ids = want.select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "want")
+    joined = need.join(ids, need["doc_id"].eqNullSafe(ids["w_id"]) & (need["th"] == ids["w_th"]))
+
+    def around(hot: bool) -> DataFrame:
+        """The texts with some of the anchors of one kind, and which; both kinds read one shuffle."""
+        wanted = F.filter("want", lambda a: a["hot"] == F.lit(hot))
+        return joined.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("did"), "th", "text", wanted.alias("want")).filter(F.size("want") > 0)
+
+    snip = around(False).mapInArrow(_snippets, "h long, did long, th long, lo int, total int, words binary")
+    found = snip.repartition("h").sortWithinPartitions("h", "did", "th", "lo").mapInArrow(_repeats, "did long, th long, total int, start int, n int, src long, src_at int")
+    if not often.filter(F.col("c") > HOT).isEmpty():
+        near = around(True).mapInArrow(_windows, "h long, did long, th long, total int, start int, w long")
         place = F.struct("did", "th", "start")
         least = near.groupBy("h", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         later = near.join(least.drop("c"), ["h", "w"]).filter(place != F.col("first"))
         found = found.unionByName(later.select("did", "th", "total", "start", F.lit(MIN_WORDS).alias("n"), F.col("first.did").alias("src"), F.col("first.start").alias("src_at")))
+    found = checkpoint(found)
     release(spark)
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c))
     near = found.select(real("did").alias("doc_id"), "th", F.col("start").alias("start_word"), F.col("n").alias("n_words"), real("src").alias("src_doc_id"), F.col("src_at").alias("src_word"), F.col("total").alias("total_words"))
