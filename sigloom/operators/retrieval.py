@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import text as tx
 from sigloom.functions import vectors as vec
+from sigloom.session import checkpoint
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens=tx.tokens) -> DataFrame:
-    """(doc_id, term, tf, len): one explode of the corpus."""
+    """(doc_id, len, term, tf): one explode of the corpus, counted before the shuffle."""
     toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).withColumn("len", F.size("t"))
     return toks.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -81,24 +82,44 @@ _IDF = {
 }
 
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame, tf: str = "raw", idf: str = "smooth", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score): sums over the query's distinct terms, in any of the five TF and three IDF variants."""
+def _query_postings(docs: DataFrame, queries: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(query_id, doc_id, tf, df, m, n) of the postings of query terms; m is the greatest tf of the document, n the number of documents."""
     wanted = query_terms(queries, tx.content_tokens).select("query_id", "term")
     post = postings(docs, doc_id, text, tx.content_tokens)
     most = post.groupBy("doc_id").agg(F.max("tf").alias("m"))
     hits = post.join(wanted.select("term").distinct(), "term", "left_semi")
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    scored = hits.join(document_frequency(hits), "term").join(most, "doc_id").crossJoin(F.broadcast(n)).join(wanted, "term")
-    w = _TF[tf](F.col("tf").cast("double"), F.col("m")) * _IDF[idf](F.col("n"), F.col("df"))
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
+    return hits.join(document_frequency(hits), "term").join(most, "doc_id").crossJoin(F.broadcast(n)).join(wanted, "term")
+
+
+def tfidf_scores(docs: DataFrame, queries: DataFrame, tf: str = "raw", idf: str = "smooth", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score): sums over the query's distinct terms, in any of the five TF and three IDF variants."""
+    rows = _query_postings(docs, queries, doc_id, text)
+    w = _TF[tf](F.col("tf").cast("double"), F.col("m")) * F.coalesce(_IDF[idf](F.col("n"), F.col("df")), F.lit(0.0))
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
+
+
+def tfidf_all(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", digits: int | None = None) -> DataFrame:
+    """(tf_kind, idf_kind, query_id, doc_id, score): all fifteen variants from one join, each another aggregate of the same rows."""
+    variants = [(t, i) for t in _TF for i in _IDF]
+    rows = _query_postings(docs, queries, doc_id, text)
+    weight = lambda t, i: _TF[t](F.col("tf").cast("double"), F.col("m")) * F.coalesce(_IDF[i](F.col("n"), F.col("df")), F.lit(0.0))
+    wide = rows.groupBy("query_id", "doc_id").agg(*(F.sum(weight(t, i)).alias(f"{t}|{i}") for t, i in variants))
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tf_kind"), F.lit(i).alias("idf_kind"), F.col(f"{t}|{i}").alias("score")) for t, i in variants])).alias("v")
+    score = F.col("v.score") if digits is None else F.round("v.score", digits)
+    return wide.select("query_id", "doc_id", pairs).select("v.tf_kind", "v.idf_kind", "query_id", "doc_id", score.alias("score"))
 
 
-def distinctive_terms(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", plus_one: bool = True, tokens=tx.content_tokens) -> DataFrame:
-    """(doc_id, term, score, rank): the k terms of each document with the highest (tf / len) ln(N / (df + 1)) (or ln(N / df))."""
+def distinctive_terms(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", plus_one: bool = True, tokens=tx.content_tokens, digits: int | None = None) -> DataFrame:
+    """(doc_id, term, score, rank): the k terms of each document with the highest (tf / len) ln(N / (df + 1)) (or ln(N / df)).
+
+    Scores are rounded to ``digits`` before they are ranked, if given.
+    """
     post = postings(docs, doc_id, text, tokens)
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     df = F.col("df") + 1 if plus_one else F.col("df")
-    scored = post.join(document_frequency(post), "term").crossJoin(F.broadcast(n)).withColumn("score", F.col("tf") / F.col("len") * F.log(F.col("n") / df))
+    score = F.col("tf") / F.col("len") * F.log(F.col("n") / df)
+    scored = post.join(document_frequency(post), "term").crossJoin(F.broadcast(n)).withColumn("score", score if digits is None else F.round(score, digits))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("doc_id", "term", "score", "rank")
 
@@ -115,6 +136,7 @@ def vector_search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str
     base computes one matrix product a batch and keeps its k best a query, so
     what is shuffled is k rows a query and partition.
     """
+    queries = checkpoint(queries.select("query_id", "vector"))
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // _QUERY_BLOCK))
     out = None
@@ -155,29 +177,81 @@ def _search_block(base, queries, k, metric, positive, base_id, base_vec):
                     norm = na[:, None] * nm[None, :]
                     score = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
                 else:
-                    score = -np.sqrt(np.maximum(na[:, None] ** 2 + nm[None, :] ** 2 - 2 * dot, 0))
+                    score = 2 * dot - nm[None, :] ** 2 - na[:, None] ** 2  # the same order; distances of those that stay are taken anew
                 bid = pdf[base_id].to_numpy()[d]
                 for i, row in zip(q, score):
                     # all that tie with the k-th stay, so that ties are settled by id in the end
                     edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                     pick = np.flatnonzero((row >= edge) & ((row > 0) if positive else True))
-                    best.append(pd.DataFrame({"query_id": ids[i], base_id: bid[pick], "score": row[pick]}))
+                    own_score = row[pick] if metric == "cosine" else -np.sqrt(((m[pick] - vectors[i]) ** 2).sum(1))
+                    best.append(pd.DataFrame({"query_id": ids[i], base_id: bid[pick], "score": own_score}))
         if best:
             yield pd.concat(best)
 
     return base.select(base_id, base_vec).mapInPandas(run, f"query_id long, {base_id} long, score double")
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, rrf_k: float = 60) -> DataFrame:
+def vector_ranks(base: DataFrame, queries: DataFrame, pairs: DataFrame, digits: int = 9, base_id: str = "doc_id", base_vec: str = "embedding") -> DataFrame:
+    """(query_id, base id, rank) of given pairs in the list of all vectors with a positive cosine to the query, best first.
+
+    A rank is one more than the number of vectors before it: each partition of
+    the base counts them for the pairs of a query at once, and only the counts
+    are shuffled. Pairs are broadcast: a bounded number a query is meant.
+    """
+    scored = pairs.select("query_id", base_id).join(base.select(base_id, base_vec), base_id).join(queries.select("query_id", "vector"), "query_id")
+    scored = scored.select("query_id", base_id, F.round(vec.cosine(base_vec, "vector"), digits).alias("score")).filter("score > 0")
+    rows = scored.join(queries.select("query_id", "vector"), "query_id").collect()
+    groups: dict[int, tuple[np.ndarray, list[tuple[float, int]]]] = {}
+    for r in rows:
+        groups.setdefault(r["query_id"], (np.asarray(r["vector"], float), []))[1].append((-r["score"], r[base_id]))
+    bc = base.sparkSession.sparkContext.broadcast([(q, v, sorted(p)) for q, (v, p) in groups.items()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros(len(p), np.int64) for _, _, p in bc.value]
+        for pdf in batches:
+            ids = pdf[base_id].to_numpy()
+            vectors = [np.asarray(v, float) if v is not None else np.zeros(0) for v in pdf[base_vec]]
+            size = np.array([len(v) for v in vectors])
+            for i, (_, q, wanted) in enumerate(bc.value):
+                rows = np.flatnonzero(size == len(q))
+                if not len(rows) or not len(q):
+                    continue
+                m = np.stack([vectors[r] for r in rows])
+                norm = np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum())
+                score = np.round(np.divide(m @ q, norm, out=np.zeros(len(m)), where=norm > 0), digits)
+                own = ids[rows][score > 0]
+                score = -score[score > 0]
+                order = np.lexsort((own, score))
+                score, own = score[order], own[order]
+                for j, (s, d) in enumerate(wanted):
+                    lo, hi = np.searchsorted(score, s - 10.0 ** -(digits + 1)), np.searchsorted(score, s + 10.0 ** -(digits + 1))
+                    total[i][j] += lo + np.searchsorted(own[lo:hi], d)
+        yield pd.DataFrame([(q, d, int(n)) for (q, _, p), t in zip(bc.value, total) for (_, d), n in zip(p, t)], columns=["query_id", base_id, "n"])
+
+    counts = base.select(base_id, base_vec).mapInPandas(run, f"query_id long, {base_id} long, n long")
+    return counts.groupBy("query_id", base_id).agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, rrf_k: int = 60, digits: tuple[int, int, int] = (6, 9, 9)) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 and cosine ranks fused; queries without a vector get BM25 alone.
 
     docs (doc_id, text), vectors (doc_id, embedding), queries (query_id, text, vector).
+    Both lists are of all documents with a positive score (rounded to ``digits``
+    of BM25, cosine and fused score, ties by doc_id), but only their heads can
+    win: an item beyond place 2 (rrf_k + k) - rrf_k of both scores less than the
+    k best of either list. So the heads of both lists are candidates, and the
+    ranks of those in the other list are joined or counted.
     """
-    lexical = rank_by(bm25_scores(docs, queries), "query_id", "score", "doc_id").select("query_id", "doc_id", "rank")
-    have = queries.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    similar = vectors.crossJoin(F.broadcast(have.select("query_id", "vector"))).select("query_id", "doc_id", vec.cosine("embedding", "vector").alias("score")).filter("score > 0")
-    dense = rank_by(similar, "query_id", "score", "doc_id").select("query_id", "doc_id", "rank")
-    return rank_by(rrf(lexical.unionByName(dense), ["query_id"], k=rrf_k), "query_id", "score", "doc_id", k)
+    deep = rrf_k + 2 * k + 1
+    scores = bm25_scores(docs, queries).withColumn("score", F.round("score", digits[0]))
+    lexical = checkpoint(rank_by(scores, "query_id", "score", "doc_id").select("query_id", "doc_id", "rank"))
+    have = queries.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("query_id", "vector")
+    near = vector_search(vectors, have, deep + k, positive=True, base_id="doc_id").withColumn("score", F.round("score", digits[1])).filter("score > 0").drop("rank")
+    head = rank_by(near, "query_id", "score", "doc_id", deep).select("query_id", "doc_id", "rank")
+    pairs = checkpoint(lexical.filter(F.col("rank") <= deep).select("query_id", "doc_id").unionByName(head.select("query_id", "doc_id")).distinct())
+    of_both = lexical.join(pairs, ["query_id", "doc_id"], "left_semi").unionByName(vector_ranks(vectors, have, pairs, digits[1]))
+    fused = rrf(of_both, ["query_id"], k=rrf_k).withColumn("score", F.round("score", digits[2]))
+    return rank_by(fused, "query_id", "score", "doc_id", k)
 
 
 def mmr_select(relevance: np.ndarray, vectors: np.ndarray, k: int, lam: float = 0.7) -> tuple[list[int], list[float]]:

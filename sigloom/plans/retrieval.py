@@ -9,7 +9,6 @@ from sigloom.catalog import query
 from sigloom.functions import text as tx
 from sigloom.functions import vectors as vec
 from sigloom.operators import retrieval as rt
-from sigloom.operators.reduce import top_k_by
 from sigloom.session import read
 
 _W = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"
@@ -73,15 +72,7 @@ freq AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
 SELECT doc_id, term, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 10""",
 )
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _term_scores(read(spark, sf, "documents"), 1)
-    return top_k_by(scored, ["doc_id"], 10, "score", "term").select("doc_id", "term", "score", "rank")
-
-
-def _term_scores(docs: DataFrame, plus: int) -> DataFrame:
-    post = rt.postings(docs, tokens=tx.content_tokens)
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    score = F.col("tf") / F.col("len") * F.log(F.col("n") / (F.col("df") + plus))
-    return post.join(rt.document_frequency(post), "term").crossJoin(F.broadcast(n)).select("doc_id", "term", F.round(score, 9).alias("score"))
+    return rt.distinctive_terms(read(spark, sf, "documents"), 10, digits=9)
 
 
 @query(
@@ -90,7 +81,7 @@ def _term_scores(docs: DataFrame, plus: int) -> DataFrame:
 SELECT doc_id, term, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 10""",
 )
 def tfidf_atom(spark: SparkSession, sf: str) -> DataFrame:
-    return top_k_by(_term_scores(read(spark, sf, "documents"), 0), ["doc_id"], 10, "score", "term").select("doc_id", "term", "score", "rank")
+    return rt.distinctive_terms(read(spark, sf, "documents"), 10, plus_one=False, digits=9)
 
 
 _VARIANTS = [(t, i) for t in ("raw", "boolean", "log", "augmented", "double_norm") for i in ("standard", "smooth", "probabilistic")]
@@ -107,18 +98,7 @@ hit AS (SELECT query_id, doc_id, tf, df, m, n FROM post JOIN freq USING (term) J
     + " UNION ALL ".join(f"SELECT '{t}' AS tf_kind, '{i}' AS idf_kind, query_id, doc_id, round(sum(({_TF_SQL[t]}) * ({_IDF_SQL[i]})), 6) AS score FROM hit GROUP BY query_id, doc_id" for t, i in _VARIANTS),
 )
 def tfidf_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """All fifteen variants from one join: each is another aggregate of the same rows."""
-    docs, queries = read(spark, sf, "documents"), _queries(spark, sf)
-    wanted = rt.query_terms(queries, tx.content_tokens).select("query_id", "term")
-    post = rt.postings(docs, tokens=tx.content_tokens)
-    most = post.groupBy("doc_id").agg(F.max("tf").alias("m"))
-    hits = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = hits.join(rt.document_frequency(hits), "term").join(most, "doc_id").crossJoin(F.broadcast(n)).join(wanted, "term")
-    each = [F.sum(rt._TF[t](F.col("tf").cast("double"), F.col("m")) * F.coalesce(rt._IDF[i](F.col("n"), F.col("df")), F.lit(0.0))).alias(f"{t}|{i}") for t, i in _VARIANTS]
-    wide = rows.groupBy("query_id", "doc_id").agg(*each)
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tf_kind"), F.lit(i).alias("idf_kind"), F.col(f"{t}|{i}").alias("score")) for t, i in _VARIANTS])).alias("v")
-    return wide.select("query_id", "doc_id", pairs).select("v.tf_kind", "v.idf_kind", "query_id", "doc_id", F.round("v.score", 6).alias("score"))
+    return rt.tfidf_all(read(spark, sf, "documents"), _queries(spark, sf), digits=6)
 
 
 @query(
@@ -151,12 +131,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of benchmark items as queries, with the vector of the same number; vectors stand for documents by number."""
     docs, emb = read(spark, sf, "documents"), read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = _queries(spark, sf)
-    lexical = rt.rank_by(rt.bm25_scores(docs, queries).withColumn("score", F.round("score", 6)), "query_id", "score", "doc_id").select("query_id", "doc_id", "rank")
-    have = queries.join(emb.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id").select("query_id", "vector")
-    similar = emb.crossJoin(F.broadcast(have)).select("query_id", "doc_id", vec.cosine("embedding", "vector").alias("score")).filter("score > 0")
-    dense = rt.rank_by(similar.withColumn("score", F.round("score", 9)), "query_id", "score", "doc_id").select("query_id", "doc_id", "rank")
-    fused = rt.rrf(lexical.unionByName(dense), ["query_id"]).withColumn("score", F.round("score", 9))
-    return rt.rank_by(fused, "query_id", "score", "doc_id", 10)
+    return rt.hybrid_search(docs, emb, queries.join(emb.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left"))
 
 
 def _vector_queries(spark, sf):
@@ -168,21 +143,20 @@ s AS (SELECT item_id AS query_id, d.vec_id, SCORE AS score FROM benchmark JOIN v
 SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
 
-def _rounded_search(spark, sf, metric):
+def _rounded_search(spark, sf, metric, digits):
     """The block search keeps a few more than k; ranks follow the rounded scores."""
-    found = rt.vector_search(read(spark, sf, "embeddings"), _vector_queries(spark, sf), 12, metric).withColumn("score", F.round("score", 9)).drop("rank")
+    found = rt.vector_search(read(spark, sf, "embeddings"), _vector_queries(spark, sf), 12, metric).withColumn("score", F.round("score", digits)).drop("rank")
     return rt.rank_by(found, "query_id", "score", "vec_id", 10)
 
 
 @query("cosine_topk", _VEC_SQL.replace("SCORE", "round(list_cosine_similarity(d.e, q.e), 9)"))
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded_search(spark, sf, "cosine")
+    return _rounded_search(spark, sf, "cosine", 9)
 
 
 @query("euclid_topk", _VEC_SQL.replace("SCORE", "round(-sqrt(list_sum(list_transform(list_zip(d.e, q.e), lambda p: (p[1] - p[2]) ** 2))), 6)"))
 def euclid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = read(spark, sf, "embeddings").crossJoin(F.broadcast(_vector_queries(spark, sf))).select("query_id", "vec_id", F.round(-vec.euclidean("embedding", "vector"), 6).alias("score"))
-    return rt.rank_by(scored, "query_id", "score", "vec_id", 10)
+    return _rounded_search(spark, sf, "euclid", 6)
 
 
 @query("vector_dot_norm", "SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS dot_self, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 9) AS l2 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")

@@ -6,24 +6,33 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app: str = "sigloom", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A UTC session with adaptive execution; on a cluster the master and sizes come from spark-submit."""
-    n = cpus or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
-    return (
+    """A UTC session with adaptive execution.
+
+    Master, memory and numbers of partitions are those of spark-submit or Spark's
+    own; only if ``cpus`` is given (tests, bench) does the session run locally on
+    as many cores, with as many shuffle partitions or those given.
+    """
+    builder = (
         SparkSession.builder.appName(app)
-        .master(os.environ.get("SIGLOOM_MASTER", f"local[{n}]"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SIGLOOM_DRIVER_MEMORY", "6g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     )
+    if cpus:
+        builder = (
+            builder.master(f"local[{cpus}]")
+            .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+            .config("spark.driver.memory", os.environ.get("SIGLOOM_DRIVER_MEMORY", "6g"))
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+        )
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    return builder.getOrCreate()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str):
@@ -32,17 +41,11 @@ def read(spark: SparkSession, sf_dir: str, table: str):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """``df`` written to the shared folder that the session names in spark.checkpoint.dir; a temporary one only in local mode where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sigloom-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigloom-ckpt-"))
     return df.checkpoint(eager=True)
-
-
-#: A side of a join is broadcast if it has no more rows than this.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where the known number of rows allows it; else the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df

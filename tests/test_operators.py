@@ -344,3 +344,48 @@ def test_leader_dedup_equals_the_sequential_pass(spark, algorithm, sim):
     assert {x.seq: x.leader for x in dd.leader_dedup(df, algorithm=algorithm).collect()} == want
     if algorithm == "combined":
         assert {x.seq: x.leader for x in dd.leader_dedup(df).collect()} == want
+
+
+def test_tfidf_variants_one_by_one_equal_all_at_once(spark):
+    from sigloom.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(1, "river bread river town"), (2, "bread and songs"), (3, "river songs songs songs"), (4, ""), (5, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "river songs"), (2, "bread")], "query_id long, text string")
+    every = {(r.tf_kind, r.idf_kind, r.query_id, r.doc_id): r.score for r in rt.tfidf_all(docs, queries).collect()}
+    for t in rt._TF:
+        for i in rt._IDF:
+            one = {(t, i, r.query_id, r.doc_id): r.score for r in rt.tfidf_scores(docs, queries, t, i).collect()}
+            assert one == pytest.approx({k: v for k, v in every.items() if k[:2] == (t, i)})
+    n, f = 5.0, {"river": (2, {1: 2, 3: 1}), "songs": (2, {2: 1, 3: 3})}
+    want = sum(tf.get(3, 0) * math.log(1 + n / (df + 1)) for df, tf in f.values())
+    assert every["raw", "smooth", 1, 3] == pytest.approx(want)
+    top = {(r.doc_id, r.term): r["rank"] for r in rt.distinctive_terms(docs, 1).collect()}
+    assert top[3, "songs"] == 1 and {d for d, _ in top} == {1, 2, 3}
+
+
+def test_hybrid_search_equals_the_full_lists(spark):
+    """Heads and counted ranks give what fusing the whole lists gives."""
+    import random
+
+    from sigloom.operators import retrieval as rt
+
+    r = random.Random(3)
+    words = "river bread town song market child bridge rain".split()
+    docs = [(d, " ".join(r.choice(words) for _ in range(r.randint(1, 30)))) for d in range(300)]
+    vecs = [(d, [r.gauss(0, 1) for _ in range(4)]) for d in range(300)]
+    queries = [(q, " ".join(r.sample(words, 2)), [r.gauss(0, 1) for _ in range(4)] if q else None) for q in range(4)]
+    d, v = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(vecs, "doc_id long, embedding array<double>")
+    qs = spark.createDataFrame(queries, "query_id long, text string, vector array<double>")
+    got = {(x.query_id, x["rank"]): (x.doc_id, x.score) for x in rt.hybrid_search(d, v, qs, k=5, rrf_k=10).collect()}
+    lexical = {}
+    for x in rt.bm25_scores(d, qs).collect():
+        lexical.setdefault(x.query_id, []).append((-round(x.score, 6), x.doc_id))
+    for q, _, vector in queries:
+        score = {}
+        cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+        dense = sorted((-round(cosine(vector, e), 9), i) for i, e in vecs if cosine(vector, e) > 0) if vector else []
+        for ranked in (sorted(lexical.get(q, [])), dense):
+            for n, (_, i) in enumerate(ranked, 1):
+                score[i] = score.get(i, 0) + 1 / (10 + n)
+        best = sorted(((-round(s, 9), i) for i, s in score.items()))[:5]
+        assert [got[q, n][0] for n in range(1, 6)] == [i for _, i in best]
