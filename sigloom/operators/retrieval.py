@@ -284,6 +284,31 @@ def mmr(pool: DataFrame, k: int = 10, lam: float = 0.7, group: str = "query_id",
     return pool.select(group, item, relevance, vector).groupBy(group).applyInPandas(run, f"{group} long, {item} long, rank int, mmr double, relevance double")
 
 
+def mmr_by(pool: DataFrame, relevance, similarity, k: int = 10, lam: float = 0.7, group: str = "query_id", item: str = "doc_id") -> DataFrame:
+    """(group, item, rank, mmr): :func:`mmr` with scorers of the caller's own.
+
+    ``relevance(row)`` and ``similarity(row, row)`` take rows of the pool as
+    dicts. Cut the pool by top-k first; each is called once for a row, and once
+    for a row and a pick. Equal scores are settled by the order of the items.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(item, kind="stable").to_dict("records")
+        own = [float(relevance(r)) for r in rows]
+        worst, left, out = [None] * len(rows), list(range(len(rows))), []
+        while left and len(out) < k:
+            score = {i: lam * own[i] - (1 - lam) * (worst[i] or 0.0) for i in left}
+            best = max(left, key=lambda i: (score[i], -i))
+            out.append((rows[best][group], rows[best][item], len(out) + 1, score[best]))
+            left.remove(best)
+            for i in left:
+                near = float(similarity(rows[i], rows[best]))
+                worst[i] = near if worst[i] is None else max(worst[i], near)
+        return pd.DataFrame(out, columns=[group, item, "rank", "mmr"]).astype({"rank": "int32"})
+
+    return pool.groupBy(group).applyInPandas(run, f"{group} long, {item} long, rank int, mmr double")
+
+
 def diversity(df: DataFrame, group: str = "query_id", vector: str = "vector") -> DataFrame:
     """(group, diversity): mean pairwise 1 - cosine; 1 for fewer than two."""
 

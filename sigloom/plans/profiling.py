@@ -173,3 +173,23 @@ def table_header(spark: SparkSession, sf: str) -> DataFrame:
 @query("table_export", "SELECT c_custkey, c_name || ',' || CASE WHEN contains(c_mktsegment, ',') THEN '\"' || c_mktsegment || '\"' ELSE c_mktsegment END AS line FROM customer")
 def table_export(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "customer").select("c_custkey", pf.to_csv_line("c_name", "c_mktsegment").alias("line"))
+
+
+_SCAN_SQL = """WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS DOUBLE) - 1 AS words, (CAST(l_quantity AS DOUBLE) - 1) * 5 AS letters, l_linenumber % 3 AS images, CAST(l_discount AS DOUBLE) * 10 AS coverage FROM lineitem),
+q AS (SELECT *, (coverage > 0.8 AND words < 20) OR (images > 0 AND words = 0) OR (coverage > 0.5 AND words = 0) OR (images > 0 AND letters / 20000.0 < 0.001 AND words < 50) AS scanned FROM p),
+c AS (SELECT *, CASE WHEN scanned THEN least(round(0.5 + CASE WHEN coverage > 0.8 THEN 0.3 ELSE 0 END + CASE WHEN words = 0 THEN 0.2 WHEN words < 10 THEN 0.1 ELSE 0 END + CASE WHEN coverage > 0.9 THEN 0.1 ELSE 0 END, 6), 1.0) END AS conf FROM q),
+d AS (SELECT doc_id, count(*) AS pages, CAST(sum(words) AS BIGINT) AS total_words, CAST(sum(images) AS BIGINT) AS total_images, CAST(sum(CASE WHEN scanned THEN 1 ELSE 0 END) AS BIGINT) AS scanned_pages, round(coalesce(avg(conf), 1.0), 6) AS confidence FROM c GROUP BY doc_id)
+SELECT *, CASE WHEN scanned_pages / pages > 0.9 THEN 'Scanned' WHEN scanned_pages / pages < 0.1 THEN 'Searchable' ELSE 'Mixed' END AS kind, NOT scanned_pages / pages < 0.1 AS needs_ocr FROM d"""
+
+
+@query("scanned_documents", _SCAN_SQL)
+def scanned_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as documents and their lines as pages, whose facts come from quantity, number and discount; every page's text reads well."""
+    from sigloom.operators import scans
+
+    words = F.col("l_quantity").cast("double") - 1
+    pages = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), words.alias("words"), (words * 5).alias("letters"), (F.col("l_linenumber") % 3).alias("images"), F.lit(100).alias("width"), F.lit(200).alias("height"),
+        (F.col("l_discount").cast("double") * 10).alias("coverage"), F.lit("some ordinary words of a page that can be read").alias("text"),
+    )
+    return scans.scanned_documents(pages)

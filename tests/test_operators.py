@@ -389,3 +389,36 @@ def test_hybrid_search_equals_the_full_lists(spark):
                 score[i] = score.get(i, 0) + 1 / (10 + n)
         best = sorted(((-round(s, 9), i) for i, s in score.items()))[:5]
         assert [got[q, n][0] for n in range(1, 6)] == [i for _, i in best]
+
+
+def test_scanned_pages(spark):
+    from sigloom.operators import scans
+
+    good = "The people of the town walked to the river and talked about bread. " * 3
+    rows = [
+        (1, 0, 0, 1, 10.0, 10.0, 0.95, None, True, 1.0),
+        (1, 5, 20, 1, 10.0, 10.0, 0.85, "a few words", True, 0.9),
+        (1, 60, 300, 1, 10.0, 10.0, 0.6, "XKCD BCDF GHJK LMNP QRST", True, 0.5),
+        (1, 60, 300, 1, 10.0, 10.0, 0.6, good, False, 0.0),
+        (2, 36, 160, 0, 10.0, 10.0, None, good, False, 0.0),
+        (3, None, None, None, 0.0, None, None, None, False, 0.0),
+        (4, 12, 40, 2, 1000.0, 1000.0, 0.1, good, True, 0.5),
+    ]
+    names = "doc_id long, words int, letters int, images int, width double, height double, coverage double, text string"
+    df = spark.createDataFrame([r[:8] for r in rows], names)
+    got = sorted(((r.doc_id, r.words, r.coverage, r.scanned, r.scan_confidence) for r in scans.scanned_pages(df).collect()), key=str)
+    assert got == sorted(((r[0], r[1], r[6], r[8], r[9]) for r in rows), key=str)
+    docs = {r.doc_id: (r.kind, r.needs_ocr, r.confidence) for r in scans.scanned_documents(df).collect()}
+    assert docs == {1: ("Mixed", True, 0.8), 2: ("Searchable", False, 1.0), 3: ("Searchable", False, 1.0), 4: ("Scanned", True, 0.5)}
+    assert scans.scanned_documents(df.limit(0)).count() == 0
+
+
+def test_mmr_with_own_scorers(spark):
+    from sigloom.operators import retrieval as rt
+
+    rows = [(1, 1, "a b", 0.9), (1, 2, "a b", 0.88), (1, 3, "c d", 0.5), (1, 4, "a c", 0.6), (2, 5, "x", 0.1)]
+    pool = spark.createDataFrame(rows, "query_id long, doc_id long, text string, score double")
+    same = lambda a, b: len(set(a["text"].split()) & set(b["text"].split())) / len(set(a["text"].split()) | set(b["text"].split()))
+    out = {(r.query_id, r["rank"]): r.doc_id for r in rt.mmr_by(pool, lambda r: r["score"], same, 3, 0.5).collect()}
+    assert out == {(1, 1): 1, (1, 2): 3, (1, 3): 4, (2, 1): 5}
+    assert rt.mmr_by(pool.limit(0), lambda r: 0, same).count() == 0
