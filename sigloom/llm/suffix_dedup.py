@@ -26,7 +26,9 @@ A suffix array of the whole corpus can't be built by shards, but it needn't be:
    ``MIN_WORDS``-word windows around it: equal ones are collapsed to the first by
    an aggregate with map-side combine, and what that leaves of each is a single
    snippet without any earlier match. So no task holds more than ``HOT`` snippets
-   of a group, and the spans and their sources are the same by either way.
+   of a group, and the spans and their sources are the same by either way. A
+   document lists each window once, however many such anchors it holds, and the
+   equal windows of a run of one word in one row.
 6. Entries of ``MIN_WORDS`` or more are spans to remove; they are merged by
    document.
 
@@ -60,6 +62,8 @@ REACH = MIN_WORDS - GRAM + 1
 _BLOCK = 1 << 17
 #: Snippets of an anchor beyond which it is split by its windows.
 HOT = 8192
+#: Suffixes that are compared at once, and snippets that are hashed at once.
+_STEP = 1 << 16
 _NULL_ID = -(1 << 63)
 
 
@@ -175,16 +179,16 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_levels(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4 .. >= depth symbols (prefix doubling); beyond the end is less than all."""
     _, rank = np.unique(symbols, return_inverse=True)
-    levels, width = [rank.astype(np.int64) + 1], 1
+    levels, width = [rank.astype(np.int32) + np.int32(1)], 1
     while width < depth:
         r = levels[-1]
-        ahead = np.zeros(len(r), np.int64)
-        ahead[: len(r) - width] = r[width:] if width < len(r) else 0
-        key = (r.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
+        key = r.astype(np.uint64) << np.uint64(32)
+        if width < len(r):
+            key[: len(r) - width] |= r[width:].astype(np.uint64)
         order = np.argsort(key)
-        new = np.empty(len(r), np.int64)
-        ranked = key[order]
-        new[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        key = key[order]
+        new = np.empty(len(r), np.int32)
+        new[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]), dtype=np.int32)
         levels.append(new)
         width *= 2
     return levels
@@ -193,7 +197,7 @@ def suffix_levels(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
     """Index of the last smaller value before each (-1 if none), by jumping over what is known not to be smaller."""
     n = len(values)
-    out = np.arange(-1, n - 1)
+    out = np.arange(-1, n - 1, dtype=np.int32)
     live = np.flatnonzero(out >= 0)
     while len(live):
         live = live[values[out[live]] >= values[live]]
@@ -223,21 +227,21 @@ def longest_previous(symbols: np.ndarray, position: np.ndarray, ends: np.ndarray
     levels = suffix_levels(symbols, depth)
     order = np.lexsort((position, levels[-1]))
     p = position[order]
-    before = nearest_smaller(p)
-    after = len(p) - 1 - nearest_smaller(p[::-1])[::-1]
-    length, source = np.zeros(len(p), np.int64), np.full(len(p), -1, np.int64)
-    for other, ok in ((before, before >= 0), (after, after < len(p))):
-        at = np.flatnonzero(ok)
-        a, b = order[at], order[other[at]]
-        n = common_prefix(levels, a, b, ends)
-        better = n > length[a]
-        length[a[better]], source[a[better]] = n[better], b[better]
+    length, source = np.zeros(len(p), np.int32), np.full(len(p), -1, np.int32)
+    for back in (False, True):
+        other = len(p) - 1 - nearest_smaller(p[::-1])[::-1] if back else nearest_smaller(p)
+        at = np.flatnonzero((other >= 0) & (other < len(p)))
+        for some in (at[i : i + _STEP] for i in range(0, len(at), _STEP)):
+            a, b = order[some], order[other[some]]
+            n = common_prefix(levels, a, b, ends)
+            better = n > length[a]
+            length[a[better]], source[a[better]] = n[better], b[better]
     return length, source
 
 
 def first_places(length: np.ndarray, source: np.ndarray, least: int) -> np.ndarray:
     """For each suffix the first one with its first ``least`` symbols: sources are followed while entries reach that length."""
-    root = np.where(length >= least, source, np.arange(len(length)))
+    root = np.where(length >= least, source, np.arange(len(length), dtype=source.dtype))
     while True:
         further = root[root]
         if (further == root).all():
@@ -258,7 +262,7 @@ def _flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     lo, size = t["lo"].to_numpy().astype(np.int64), np.diff(bound)
     _, rank = np.unique(np.stack([did, th], axis=1), axis=0, return_inverse=True)
     # of equal snippets the first speaks for all: the others are matches from end to end
-    one = tk.row_hash(h, bound[:-1], bound[1:])
+    one = np.concatenate([tk.row_hash(h[b[0] : b[-1]], b[:-1] - b[0], b[1:] - b[0]) for b in (bound[i : i + _STEP // MIN_WORDS + 1] for i in range(0, len(size), _STEP // MIN_WORDS))])
     order = np.lexsort((lo, rank, one))
     new = np.concatenate([[True], one[order][1:] != one[order][:-1]])
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
@@ -271,17 +275,22 @@ def _flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     at = np.cumsum(size_) - size_
     picked = h[np.arange(size_.sum()) + np.repeat(bound[rows] - at, size_)]
     # a separator after each snippet, unlike all else, ends every match
-    _, dense = np.unique(picked, return_inverse=True)
+    dense = np.unique(picked, return_inverse=True)[1].astype(np.int32)
+    del picked
     begin = at + np.arange(n)
-    symbols = np.empty(len(picked) + n, np.int64)
-    symbols[np.arange(len(picked)) + np.repeat(np.arange(n), size_)] = dense + n
+    symbols = np.empty(len(dense) + n, np.int32)
+    symbols[np.arange(len(dense)) + np.repeat(np.arange(n), size_)] = dense + np.int32(n)
     symbols[begin + size_] = np.arange(n)
-    owner = np.repeat(np.arange(n), size_ + 1)
-    place = lo[rows][owner] + np.arange(len(symbols)) - begin[owner]
-    position = rank[rows][owner] * (int(place.max()) + 1) + place
-    length, source = longest_previous(symbols, position, (begin + size_)[owner], MIN_WORDS)
+    del dense
+    owner = np.repeat(np.arange(n, dtype=np.int32), size_ + 1)
+    place = np.repeat(lo[rows] - begin, size_ + 1) + np.arange(len(symbols))
+    position = np.repeat(rank[rows] * (int(place.max()) + 1), size_ + 1) + place
+    place = place.astype(np.int32)
+    length, source = longest_previous(symbols, position, np.repeat((begin + size_).astype(np.int32), size_ + 1), MIN_WORDS)
+    del symbols, position
     root = first_places(length, source, MIN_WORDS)
     hit = np.flatnonzero(length >= MIN_WORDS)
+    del length, source
     from_, to = rows[owner[hit]], rows[owner[root[hit]]]
     a, b = place[hit], place[root[hit]]
     order = np.lexsort((a, rank[from_]))
@@ -331,18 +340,36 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of MIN_WORDS words around each wanted anchor of a document, by hash."""
-    for batch in _snippets(batches):
-        for part in (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096)):
-            offsets, data = tk.buffers(part["words"])
-            h, bound = data.view(np.uint64), offsets // 8
-            n = np.maximum(np.diff(bound) - MIN_WORDS + 1, 0)
-            row = np.repeat(np.arange(len(n)), n)
-            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hashes = tk.row_hash(h, bound[row] + start, bound[row] + start + MIN_WORDS)
-            pick = pa.array(row)
-            place = part["lo"].to_numpy()[row] + start
-            yield pa.RecordBatch.from_arrays([*(part[c].take(pick) for c in ("h", "did", "th", "total")), pa.array(place.astype(np.int32)), pa.array(tk.signed(hashes))], ["h", "did", "th", "total", "start", "w"])
+    """The windows of MIN_WORDS words around the wanted anchors of a document, each once, by least gram and hash.
+
+    A row stands for the ``k`` windows from ``start`` on, which are equal: the text is one word there.
+    """
+    for part in tk.chunks(batches):
+        words = tk.Words(*tk.buffers(part["text"]))
+        want = part["want"]
+        row = np.repeat(np.arange(part.num_rows), pc.list_value_length(want).to_numpy(zero_copy_only=False))
+        at = want.flatten().field("at").to_numpy().astype(np.int64)
+        lo = np.maximum(at - (REACH - 1), 0)
+        hi = np.minimum(at, np.diff(words.first)[row] - MIN_WORDS)
+        some = hi >= lo
+        lo, hi = (words.first[row] + lo)[some], (words.first[row] + hi)[some]
+        cover = np.bincount(lo, minlength=len(words) + 1) - np.bincount(hi + 1, minlength=len(words) + 1)
+        start = np.flatnonzero(np.cumsum(cover) > 0)
+        grams = np.full(len(words), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        first, h = words.windows(GRAM)
+        grams[first] = h
+        least = sliding_min(grams, REACH)
+        for a in range(0, len(start), 1 << 17):
+            at = start[a : a + (1 << 17)]
+            w, doc = words.span_hash(at, at + MIN_WORDS), words.doc[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+            heads = np.flatnonzero(new)
+            k = np.diff(np.append(heads, len(at)))
+            at, pick = at[heads], pa.array(doc[heads])
+            place = at - words.first[doc[heads]]
+            cols = [pa.array(tk.signed(least[at])), *(part[c].take(pick) for c in ("did", "th")), pa.array(np.diff(words.first)[doc[heads]].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(tk.signed(w[heads]))], ["h", "did", "th", "total", "start", "k", "w"])
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -382,11 +409,13 @@ def spans(docs: DataFrame) -> DataFrame:
     snip = around(False).mapInArrow(_snippets, "h long, did long, th long, lo int, total int, words binary")
     found = snip.repartition("h").sortWithinPartitions("h", "did", "th", "lo").mapInArrow(_repeats, "did long, th long, total int, start int, n int, src long, src_at int")
     if not often.filter(F.col("c") > HOT).isEmpty():
-        near = around(True).mapInArrow(_windows, "h long, did long, th long, total int, start int, w long")
+        near = around(True).mapInArrow(_windows, "h long, did long, th long, total int, start int, k int, w long")
         place = F.struct("did", "th", "start")
-        least = near.groupBy("h", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        later = near.join(least.drop("c"), ["h", "w"]).filter(place != F.col("first"))
-        found = found.unionByName(later.select("did", "th", "total", "start", F.lit(MIN_WORDS).alias("n"), F.col("first.did").alias("src"), F.col("first.start").alias("src_at")))
+        least = near.groupBy("h", "w").agg(F.min(place).alias("first"), F.sum("k").alias("c")).filter("c > 1")
+        # of the first row only the first window stays
+        listed = near.join(least.drop("c"), ["h", "w"]).withColumn("skip", (place == F.col("first")).cast("int"))
+        later = listed.filter("k > skip").select("did", "th", "total", (F.col("start") + F.col("skip")).alias("start"), (F.col("k") - F.col("skip") + F.lit(MIN_WORDS - 1)).alias("n"), F.col("first.did").alias("src"), F.col("first.start").alias("src_at"))
+        found = found.unionByName(later)
     found = checkpoint(found)
     release(spark)
     real = lambda c: F.when(F.col(c) != F.lit(_NULL_ID), F.col(c))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,42 @@ def test_hot_anchor(spark, monkeypatch):
     assert run() == want
 
 
+def test_hot_anchors_of_runs_list_each_window_once(spark, monkeypatch):
+    """Runs of one or two words hold an anchor at each place; their windows make no more rows for that."""
+    r = random.Random(6)
+    rows = []
+    for d in range(40):
+        w = [r.choice(W) for _ in range(40)]
+        run = ["the"] * r.randint(120, 400) if d % 4 else ["y", "z"] * r.randint(40, 90)
+        rows.append((d, " ".join(w[:20] + run + w[20:] + (["the"] * r.randint(50, 90) if d % 3 else []))))
+    df = spark.createDataFrame(rows, SCHEMA)
+    run = lambda: sorted(tuple(x[c] for c in FULL) for x in sd.repeats(df).collect())
+    want = run()
+    assert {(x[0], x[1], x[2], x[5]) for x in want} == brute(rows)
+    monkeypatch.setattr(sd, "HOT", 20)
+    assert run() == want
+    assert sd.spans(df).count() <= sum(len(t.split()) for _, t in rows)
+
+
+def test_memory_of_a_group_below_the_hot_limit():
+    """The arrays of the largest group that is not split: two tasks of an executor may hold one each."""
+    r = np.random.default_rng(0)
+    n, size = sd.HOT, sd.MIN_WORDS + sd.REACH - 1
+    words = r.integers(0, 1 << 63, (n, size)).astype(np.uint64)
+    words[:, 20:75] = words[0, 20:75]
+    raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size * 8).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+    ids, none = pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), ids, ids, none, none, raw], ["h", "did", "th", "lo", "total", "words"])
+    tracemalloc.start()
+    try:
+        out = sd._flush([batch])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == n - 1 and set(out["n"].to_pylist()) == {55} and set(out["src"].to_pylist()) == {0}
+    assert peak < 24 * words.nbytes
+
+
 def test_dedup_keeps_the_first_copy(spark):
     p = " ".join(W[:60])
     rows = [(1, f"one {p} tail", "a"), (2, f"two {p}  other tail", "b"), (3, p, "c"), (4, None, "d"), (5, "", None), (6, " ".join(W[:40]), "e"), (7, " ".join(W[:40]), "f"), (1, f"one {p} tail", "a")]
