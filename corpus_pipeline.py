@@ -61,15 +61,16 @@ STAGES = [
 ]
 
 
-#: Stages whose result the next one reads more than once.
-_READ_AGAIN = {"quality_rules", "line_dedup"}
+#: Stages whose result is written: the next one reads it more than once or, after
+#: decontamination, would hold a second Python worker for each running task.
+_WRITTEN = {"quality_rules", "line_dedup", "decontamination"}
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name in _READ_AGAIN:
+        if name in _WRITTEN:
             docs = checkpoint(docs)
     return docs
 

@@ -162,12 +162,12 @@ def find_spans(texts: pa.Array, grams: Grams) -> tuple[pa.Array, pa.Array]:
 
 
 def _scanner(bc) -> Callable:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.chunks(batches):
             spans, total = find_spans(part["text"], bc.value)
             yield pa.RecordBatch.from_arrays([*part.columns, spans, total], [*part.schema.names, "spans", "total_words"])
 
-    return scan
+    return run
 
 
 def _bits(h: np.ndarray, bits: int) -> np.ndarray:
@@ -234,12 +234,22 @@ def _with(df: DataFrame) -> str:
 
 def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs with ``spans`` (null if clean) and ``total_words``; docs needs the column text only, and none of these names."""
+    return _scan(docs, benchmark, limit, iter, _with(docs))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, limit: int, then: Callable, schema) -> DataFrame:
+    """``then`` over the batches of :func:`scan`, in the same Python worker.
+
+    As a mapInArrow of its own it would take a second worker for each running
+    task; workers live on, and an executor would hold twice as many from then on.
+    """
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     grams = checkpoint(test_grams(benchmark))
     size = grams.agg(F.coalesce(F.sum(F.octet_length("words") + 24), F.lit(0))).first()[0]
     if size <= limit:
-        return docs.mapInArrow(_scanner(context.broadcast(Grams(grams.toArrow()))), _with(docs))
+        found_by = _scanner(context.broadcast(Grams(grams.toArrow())))
+        return docs.mapInArrow(lambda batches: then(found_by(batches)), schema)
     lengths = sorted(r.k for r in grams.select("k").distinct().collect())  # MIN_WORDS..N at most
     may = context.broadcast(bloom(grams, BLOOM_BITS))
     # equal texts share their hits; those without words have none, and none of their own keys
@@ -251,7 +261,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) ->
     alone = F.xxhash64(F.monotonically_increasing_id())
     keyed = docs.withColumn("__k1", F.when(F.col("text") != "", two[0]).otherwise(alone)).withColumn("__k2", two[1])
     joined = keyed.join(found, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left")
-    return joined.select(*docs.columns, "__hits").mapInArrow(_check_hits, _with(docs))
+    return joined.select(*docs.columns, "__hits").mapInArrow(lambda batches: then(_check_hits(batches)), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -292,7 +302,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The documents with contaminated spans cut out and contaminated documents removed; columns as given."""
     plain = docs.select(rest(docs), "text")
-    return scan(plain, benchmark).mapInArrow(_cut, plain.schema).select(*unpacked(docs))
+    return _scan(plain, benchmark, limit, _cut, plain.schema).select(*unpacked(docs))

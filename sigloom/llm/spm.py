@@ -48,7 +48,9 @@ from sigloom.llm.graph import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Bytes of text encoded at once.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
+#: Pairs of pieces of which a worker remembers whether one may follow the other; beyond it, all are forgotten.
+FITS_KEPT = 1 << 18
 _TABLE = 0x3000  # characters below have a place in the table of joinable pairs
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -146,6 +148,8 @@ class Model:
         key = a << 20 | b
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) >= FITS_KEPT:
+                self.fits.clear()
             known = self.fits[key] = self._remerge(a, b)
         return known
 

@@ -96,3 +96,11 @@ def test_empty_tables(spark):
     assert dc.contaminated(docs, none).count() == 0
     assert [r.text for r in dc.decontaminate(docs, none).collect()] == ["some text"]
     assert dc.decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_cut_is_the_same_either_way(spark, monkeypatch):
+    docs, items = corpus(2)
+    monkeypatch.setattr(dc, "BLOOM_BITS", 14)
+    df, bench = spark.createDataFrame(docs + docs[:7], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, two = (sorted(map(tuple, dc.decontaminate(df, bench, limit).collect()), key=str) for limit in (dc.BROADCAST_BYTES, -1))
+    assert one == two and 0 < len(set(one) - set(docs)) and len(one) < len(docs) + 7

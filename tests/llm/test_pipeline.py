@@ -94,6 +94,36 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path):
         assert docs.count() <= len(rows)
 
 
+def python_workers(df):
+    """The most Python workers that a task of the plan holds: steps in Python without an exchange between them."""
+    most = 0
+
+    def walk(plan):
+        nonlocal most
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.initialPlan()
+        below = sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+        here = below + (plan.nodeName() == "MapInArrow")
+        most = max(most, here)
+        return 0 if "Exchange" in plan.nodeName() else here
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return most
+
+
+def test_a_task_holds_one_python_worker(spark, tmp_path):
+    """Workers live on between stages: two a task were 600 to 800 MB of an executor in sentencepiece, which broke its limit."""
+    rows, items = corpus()
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert python_workers(stage(spark, docs, sf)) <= 1, name
+    assert python_workers(dc.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), limit=0)) == 1
+    assert python_workers(cp.run(spark, sf)) == 1
+
+
 def test_stage_names():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
     assert cp.ORACLE_SQL is None and dc.N > 0 and ld.BANDS > 0 and nd.N_HASH > 0

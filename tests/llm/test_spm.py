@@ -49,6 +49,18 @@ def test_cache_collisions_and_reset(both, monkeypatch):
         assert [ids[at[i] : at[i + 1]].tolist() for i in range(60)] == lib.encode(some)
 
 
+def test_remembered_pairs_are_bounded(both, monkeypatch):
+    """Else they grow with the corpus, in workers that live on."""
+    model, lib = both
+    monkeypatch.setattr(spm, "FITS_KEPT", 40)
+    model.fits.clear()
+    r = random.Random(5)
+    some = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(12)) for _ in range(20)) for _ in range(100)]
+    ids, at = spm.Encoder(model)(pa.array(some))
+    assert len(model.fits) <= 40
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(100)] == lib.encode(some)
+
+
 def test_rows_of_all_sorts(spark, both):
     _, lib = both
     long = "word and other " * 30_000
