@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sigloom.functions import pairs
 from sigloom.functions.numbers import col
 
 #: Word characters: letters, combining marks, digits, connectors.
@@ -56,63 +57,30 @@ def jaccard(a, b, n: int = 2) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / both)
 
 
-def _count_of(grams_: Column, g: Column) -> Column:
-    return F.size(F.filter(grams_, lambda x: x == g)).cast("double")
-
-
 def ngram_cosine(a, b, n: int = 2) -> Column:
     """Cosine of n-gram counts; texts shorter than n are compared for equality."""
-    x, y = grams(a, n), grams(b, n)
-    square = lambda g: F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, k: s + _count_of(g, k) * _count_of(g, k))
-    dot = F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, k: s + _count_of(x, k) * _count_of(y, k))
+    x, y = F.lower(col(a)), F.lower(col(b))
     short = (F.length(col(a)) < n) | (F.length(col(b)) < n)
-    return F.when(short, (F.lower(col(a)) == F.lower(col(b))).cast("double")).otherwise(dot / F.sqrt(square(x) * square(y)))
+    return F.when(short, (x == y).cast("double")).otherwise(pairs.gram_cosine(x, y, n))
 
 
 def jaro(a, b) -> Column:
-    """Jaro similarity in any case: one fold over the characters of the first text.
-
-    Matches are within half the greater length less one; the state is the set
-    of matched places of the second text.
-    """
-    return _jaro(F.lower(col(a)), F.lower(col(b)))
-
-
-def _jaro(s: Column, t: Column) -> Column:
-    n, m = F.length(s), F.length(t)
-    reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("chars"))
-
-    def step(acc: Column, i: Column) -> Column:
-        c = F.substring(s, i, F.lit(1))
-        lo, hi = F.greatest(i - reach, F.lit(1)), F.least(i + reach, m)
-        free = F.filter(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), lambda j: (F.substring(t, j, F.lit(1)) == c) & ~F.array_contains(acc["used"], j))
-        hit = F.size(free) > 0
-        return F.struct(F.when(hit, F.concat(acc["used"], F.array(F.get(free, F.lit(0))))).otherwise(acc["used"]).alias("used"), F.when(hit, F.concat(acc["chars"], F.array(c))).otherwise(acc["chars"]).alias("chars"))
-
-    def finish(acc: Column) -> Column:
-        k = F.size(acc["used"]).cast("double")
-        other = F.transform(F.array_sort(acc["used"]), lambda j: F.substring(t, j, F.lit(1)))
-        moved = F.floor(F.size(F.filter(F.zip_with(acc["chars"], other, lambda x, y: x != y), lambda d: d)) / 2)
-        return F.when(k == 0, 0.0).otherwise((k / n + k / m + (k - moved) / k) / 3.0)
-
-    body = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, step, finish)
-    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).when(s == t, 1.0).otherwise(body)
+    """Jaro similarity in any case; matches are within half the greater length less one."""
+    return pairs.jaro(F.lower(col(a)), F.lower(col(b)))
 
 
 def jaro_winkler(a, b, p: float = 0.1) -> Column:
     """Jaro, raised by a common prefix of up to four characters whatever its value."""
     s, t = F.lower(col(a)), F.lower(col(b))
-    prefix = F.size(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.length(s) >= i) & (F.length(t) >= i) & (F.substring(s, F.lit(1), i) == F.substring(t, F.lit(1), i))))
-    j = _jaro(s, t)
+    prefix = sum(((F.length(s) >= i) & (F.length(t) >= i) & (F.substring(s, 1, i) == F.substring(t, 1, i))).cast("int") for i in range(1, 5))
+    j = pairs.jaro(s, t)
     return j + prefix * p * (1.0 - j)
 
 
 def combined_similarity(a, b, norm: bool = True) -> Column:
     """1 if equal, .9 if one holds the other, else .5 Jaro-Winkler + .3 Levenshtein + .2 bigram cosine."""
     x, y = (normalized(a), normalized(b)) if norm else (F.trim(F.lower(col(a))), F.trim(F.lower(col(b))))
-    mixed = 0.5 * jaro_winkler(x, y) + 0.3 * levenshtein_similarity(x, y) + 0.2 * ngram_cosine(x, y)
-    return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(F.contains(x, y) | F.contains(y, x), 0.9).otherwise(mixed)
+    return pairs.combined(x, y)
 
 
 # --- statistics and quality ---------------------------------------------------------------

@@ -422,3 +422,27 @@ def test_mmr_with_own_scorers(spark):
     out = {(r.query_id, r["rank"]): r.doc_id for r in rt.mmr_by(pool, lambda r: r["score"], same, 3, 0.5).collect()}
     assert out == {(1, 1): 1, (1, 2): 3, (1, 3): 4, (2, 1): 5}
     assert rt.mmr_by(pool.limit(0), lambda r: 0, same).count() == 0
+
+
+def test_pair_similarities_equal_their_models(spark):
+    """The batch kernels against one pair at a time, with long texts, characters beyond the BMP, and nulls."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("abé 😀z") for _ in range(r.choice([0, 1, 2, 3, 5, 9, 40, 400]))) for _ in range(120)]
+    rows = [(a, b) for a, b in zip(texts, texts[1:])] + [(a, a[: len(a) // 2] + "x" + a[len(a) // 2 :]) for a in texts] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", tx.jaro_winkler("a", "b").alias("jw"), tx.ngram_cosine("a", "b").alias("g"), tx.combined_similarity("a", "b", norm=False).alias("c")).collect()
+    for x in got:
+        if x.a is None or x.b is None:
+            assert (x.jw, x.g, x.c) == (None, None, None)
+            continue
+        assert x.jw == pytest.approx(_jaro_winkler(x.a, x.b) if x.a and x.b else float(x.a == x.b))
+        assert x.g == pytest.approx(_cosine(x.a, x.b))
+        s, t = x.a.strip(" "), x.b.strip(" ")
+        assert x.c == pytest.approx(1 if s == t else _combined(s, t) if s and t else 0)
+
+
+def test_combined_similarity_takes_each_text_once(spark):
+    """The normalized texts stand in the plan twice at most (as the name of the result, too); they stood wherever a character was looked at."""
+    df = spark.createDataFrame([("Hot bolt", "hot  BOLTS")], "a string, b string")
+    plan = df.select(tx.combined_similarity("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 8
