@@ -446,3 +446,18 @@ def test_combined_similarity_takes_each_text_once(spark):
     df = spark.createDataFrame([("Hot bolt", "hot  BOLTS")], "a string, b string")
     plan = df.select(tx.combined_similarity("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= 8
+
+
+@pytest.mark.parametrize("name", ["jaccard", "levenshtein"])
+def test_copies_are_paired_in_blocks(spark, monkeypatch, name):
+    """Texts meet once however many copies they have; the copies' pairs are all there, once each."""
+    monkeypatch.setattr(dd, "MEMBERS", 7)
+    texts = (["large blue ring", "Large blue ring", "large blue rings", "hot bolt", "", None] * 9)[:50]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string")
+    met = []
+    find = getattr(dd, f"_{name}_pairs")
+    monkeypatch.setattr(dd, f"_{name}_pairs", lambda d, *how: met.append(d.count()) or find(d, *how))
+    got = [(x.a, x.b) for x in dd.PAIRS[name](df, 0.85).collect()]
+    same = lambda t: t and t.lower().rstrip("s")
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if texts[i] is not None and texts[j] is not None and same(texts[i]) == same(texts[j])}
+    assert len(got) == len(set(got)) and set(got) == want and met == [4]
