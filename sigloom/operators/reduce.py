@@ -89,17 +89,20 @@ def top_k_by(df: DataFrame, group: list[str], k: int, score: str, seq: str = "se
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def iterative_reduce(df: DataFrame, value: str, key: str, seq: str = "seq", op: str = "sum", batch: int = 10, target: int = 5, rounds: int = 10) -> DataFrame:
+def iterative_reduce(df: DataFrame, value: str, key: str, seq: str = "seq", op: str = "sum", batch: int = 10, target: int = 5, rounds: int = 10, cut: bool = True) -> DataFrame:
     """Batches of entries in order reduced again and again until ``target`` are left (or the rounds are over), then the best of those.
 
     An entry carries its reduced score, the key of the best entry in it and how
     many entries it stands for. The first numbering follows a range partitioned
     sort; each round is one aggregate, and their number is known from the count.
+    Sums are taken in the entries' order, so equal batches tie. Without ``cut``
+    all that the rounds leave stay.
     """
     n = df.count()
     numbered = with_running_total(df.select(F.col(seq).alias("seq"), to_double_or_zero(value).alias("score"), F.col(key).cast("string").alias("best_key")), "seq", F.lit(1), "i")
     cur = numbered.select((F.col("i") - 1).cast("long").alias("i"), "score", F.col("score").alias("best"), "best_key", F.lit(1).cast("long").alias("merged"))
-    combine = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "median": F.median}.get(op, F.sum)
+    in_order = lambda c: F.aggregate(F.array_sort(F.collect_list(F.struct("i", c))), F.lit(0.0), lambda s, e: s + e[c])
+    combine = {"sum": in_order, "avg": F.avg, "max": F.max, "min": F.min, "median": F.median}.get(op, in_order)
     done = 0
     while n > target and done < rounds:
         cur = cur.groupBy(F.floor(F.col("i") / batch).alias("i")).agg(
@@ -109,7 +112,7 @@ def iterative_reduce(df: DataFrame, value: str, key: str, seq: str = "seq", op:
             F.sum("merged").alias("merged"),
         )
         n, done = -(-n // batch), done + 1
-    return top_k(cur, target, "score", "i").select("rank", F.col("i").alias("batch_index"), "score", "best_key", "merged")
+    return top_k(cur, target if cut else max(n, 1), "score", "i").select("rank", F.col("i").alias("batch_index"), "score", "best_key", "merged")
 
 
 def round_count(n: int, batch: int = 10, target: int = 5, rounds: int = 10) -> int:

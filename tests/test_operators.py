@@ -461,3 +461,12 @@ def test_copies_are_paired_in_blocks(spark, monkeypatch, name):
     same = lambda t: t and t.lower().rstrip("s")
     want = {(i, j) for i in range(50) for j in range(i + 1, 50) if texts[i] is not None and texts[j] is not None and same(texts[i]) == same(texts[j])}
     assert len(got) == len(set(got)) and set(got) == want and met == [4]
+
+
+def test_iterative_reduce_that_runs_out_of_rounds(spark):
+    """What the rounds leave beyond the target stays where no cut is asked for; equal batches rank by place."""
+    df = spark.createDataFrame([(i, 0.1 * (i % 10)) for i in range(600)], "seq long, v double")
+    got = rd.iterative_reduce(df, "v", "seq", rounds=2, cut=False).collect()
+    assert [(r["rank"], r.batch_index, r.merged) for r in got] == [(i + 1, i, 100) for i in range(6)]
+    assert len(rd.iterative_reduce(df, "v", "seq", rounds=2).collect()) == 5
+    assert [r.merged for r in rd.iterative_reduce(df, "v", "seq").collect()] == [600]
