@@ -1,8 +1,8 @@
 """Retrieval: BM25, TF-IDF, vector search, rank fusion, hybrid search and diversity re-ranking.
 
-Corpus statistics are aggregates; a query's terms reduce the postings before the
-join, so only those of the query's terms are ever scored. Queries come as a
-table (query_id, text), all of them answered by one plan.
+Documents' counts of the queries' terms are made in one pass and weighed in a
+second (see terms.py), so no posting is shuffled. Queries come as a table
+(query_id, text), all of them answered by one plan.
 """
 
 from __future__ import annotations
@@ -16,46 +16,27 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import text as tx
 from sigloom.functions import vectors as vec
+from sigloom.operators.terms import best_terms
+from sigloom.operators.terms import hits as term_hits
 from sigloom.session import checkpoint
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens=tx.tokens) -> DataFrame:
-    """(doc_id, len, term, tf): one explode of the corpus, counted before the shuffle."""
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).withColumn("len", F.size("t"))
-    return toks.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _bm25_weights(k1: float, b: float):
+    def weigh(times, tf, row, size, most, df, n, average):
+        score = times(tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / (average or 1.0))), np.log((n - df + 0.5) / (df + 0.5) + 1))
+        return [score], score > 0
 
+    return weigh
 
-def corpus_size(docs: DataFrame, text: str = "text", tokens=tx.tokens) -> DataFrame:
-    """One row (n, avgdl)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
 
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, k: int | None = None, slack: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id, score > 0, keep) of every document that holds a term of the query; a term that a query repeats counts as often.
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def query_terms(queries: DataFrame, tokens=tx.tokens) -> DataFrame:
-    """(query_id, term, qtf)."""
-    return queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score > 0) of every document that holds a term of the query; a term that a query repeats counts as often.
-
-    Only the postings of query terms survive the first join (a semi-join on
-    terms, before any aggregate), which is what keeps the plan small.
+    With ``k``, of those only what may be among a query's k best, and what comes
+    within ``slack`` of the k-th, for rounding to follow. Columns to keep are left
+    out if several rows share an id.
     """
-    wanted = query_terms(queries)
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tx.tokens(text).alias("t")).withColumn("len", F.size("t"))
-    terms = wanted.select("term").distinct()
-    hits = toks.select("doc_id", "len", F.explode("t").alias("term")).join(terms, "term", "left_semi")
-    post = hits.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    size = corpus_size(docs, text)
-    freq = document_frequency(post)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = post.join(freq, "term").join(wanted, "term").crossJoin(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("qtf")).alias("score"))
-    return scored.filter("score > 0")
+    return term_hits(docs, queries, doc_id, text, keep=keep).scores(_bm25_weights(k1, b), ["score"], k, slack).filter("score > 0")
 
 
 def rank_by(df: DataFrame, group: str, score: str, tie: str, k: int | None = None) -> DataFrame:
@@ -65,61 +46,61 @@ def rank_by(df: DataFrame, group: str, score: str, tie: str, k: int | None = Non
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, **how) -> DataFrame:
-    return rank_by(bm25_scores(docs, queries, **how), "query_id", "score", "doc_id", k)
+    return rank_by(bm25_scores(docs, queries, k=k, **how), "query_id", "score", "doc_id", k)
 
 
-_TF = {
-    "raw": lambda f, m: f,
-    "boolean": lambda f, m: F.lit(1.0),
-    "log": lambda f, m: 1 + F.log(f),
-    "augmented": lambda f, m: 0.5 + 0.5 * f / m,
-    "double_norm": lambda f, m: 0.5 + 0.5 * f / m,
-}
+_TF = ("raw", "boolean", "log", "augmented", "double_norm")
 _IDF = {
-    "standard": lambda n, d: F.log(n / (d + 1)),
-    "smooth": lambda n, d: F.log(1 + n / (d + 1)),
-    "probabilistic": lambda n, d: F.greatest(F.lit(0.0), F.log((n - d) / (d + 1))),
+    "standard": lambda n, d: np.log(n / (d + 1)),
+    "smooth": lambda n, d: np.log(1 + n / (d + 1)),
+    "probabilistic": lambda n, d: np.maximum(0.0, np.log(np.maximum(n - d, 1e-300) / (d + 1))),
 }
 
 
-def _query_postings(docs: DataFrame, queries: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(query_id, doc_id, tf, df, m, n) of the postings of query terms; m is the greatest tf of the document, n the number of documents."""
-    wanted = query_terms(queries, tx.content_tokens).select("query_id", "term")
-    post = postings(docs, doc_id, text, tx.content_tokens)
-    most = post.groupBy("doc_id").agg(F.max("tf").alias("m"))
-    hits = post.join(wanted.select("term").distinct(), "term", "left_semi")
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return hits.join(document_frequency(hits), "term").join(most, "doc_id").crossJoin(F.broadcast(n)).join(wanted, "term")
+def _tfidf_weights(variants: list[tuple[str, str]]):
+    """The TF of (double) norm is half one and half tf / m, so its sums are those of two others."""
+
+    def weigh(times, tf, row, size, most, df, n, average):
+        one, raw, idf = {}, {}, {i: f(n, df) for i, f in _IDF.items()}
+        for i in dict.fromkeys(["smooth", *(i for _, i in variants)]):
+            one[i] = times(np.ones(len(tf)), idf[i])
+            raw[i] = times(tf, idf[i])
+        made = {
+            "raw": lambda i: raw[i],
+            "boolean": lambda i: one[i],
+            "log": lambda i: times(1 + np.log(tf), idf[i]),
+            "augmented": lambda i: 0.5 * one[i] + 0.5 * raw[i] / np.maximum(most, 1)[:, None],
+        }
+        return [made["augmented" if t == "double_norm" else t](i) for t, i in variants], one["smooth"] > 0
+
+    return weigh
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, tf: str = "raw", idf: str = "smooth", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score): sums over the query's distinct terms, in any of the five TF and three IDF variants."""
-    rows = _query_postings(docs, queries, doc_id, text)
-    w = _TF[tf](F.col("tf").cast("double"), F.col("m")) * F.coalesce(_IDF[idf](F.col("n"), F.col("df")), F.lit(0.0))
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(w).alias("score"))
+    return term_hits(docs, queries, doc_id, text, content=True).scores(_tfidf_weights([(tf, idf)]), ["score"])
 
 
 def tfidf_all(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", digits: int | None = None) -> DataFrame:
-    """(tf_kind, idf_kind, query_id, doc_id, score): all fifteen variants from one join, each another aggregate of the same rows."""
+    """(tf_kind, idf_kind, query_id, doc_id, score): all fifteen variants from one pass over the documents' counts."""
     variants = [(t, i) for t in _TF for i in _IDF]
-    rows = _query_postings(docs, queries, doc_id, text)
-    weight = lambda t, i: _TF[t](F.col("tf").cast("double"), F.col("m")) * F.coalesce(_IDF[i](F.col("n"), F.col("df")), F.lit(0.0))
-    wide = rows.groupBy("query_id", "doc_id").agg(*(F.sum(weight(t, i)).alias(f"{t}|{i}") for t, i in variants))
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tf_kind"), F.lit(i).alias("idf_kind"), F.col(f"{t}|{i}").alias("score")) for t, i in variants])).alias("v")
+    own = [v for v in variants if v[0] != "double_norm"]
+    wide = term_hits(docs, queries, doc_id, text, content=True).scores(_tfidf_weights(own), [f"{t}|{i}" for t, i in own])
+    name = lambda t, i: f"{'augmented' if t == 'double_norm' else t}|{i}"
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tf_kind"), F.lit(i).alias("idf_kind"), F.col(name(t, i)).alias("score")) for t, i in variants])).alias("v")
     score = F.col("v.score") if digits is None else F.round("v.score", digits)
     return wide.select("query_id", "doc_id", pairs).select("v.tf_kind", "v.idf_kind", "query_id", "doc_id", score.alias("score"))
 
 
-def distinctive_terms(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", plus_one: bool = True, tokens=tx.content_tokens, digits: int | None = None) -> DataFrame:
-    """(doc_id, term, score, rank): the k terms of each document with the highest (tf / len) ln(N / (df + 1)) (or ln(N / df)).
+def distinctive_terms(docs: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", plus_one: bool = True, digits: int | None = None) -> DataFrame:
+    """(doc_id, term, score, rank): the k content terms of each document with the highest (tf / len) ln(N / (df + 1)) (or ln(N / df)).
 
     Scores are rounded to ``digits`` before they are ranked, if given.
     """
-    post = postings(docs, doc_id, text, tokens)
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = best_terms(docs, k, doc_id, text, plus_one, 1e-12 if digits is None else 2 * 10.0**-digits)
     df = F.col("df") + 1 if plus_one else F.col("df")
     score = F.col("tf") / F.col("len") * F.log(F.col("n") / df)
-    scored = post.join(document_frequency(post), "term").crossJoin(F.broadcast(n)).withColumn("score", score if digits is None else F.round(score, digits))
+    scored = rows.withColumn("score", score if digits is None else F.round(score, digits))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("doc_id", "term", "score", "rank")
 
@@ -133,8 +114,8 @@ def vector_search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str
     """(query_id, base id, score, rank): exact search of each query (query_id, vector) over all vectors.
 
     The queries are broadcast in blocks of bounded size; each partition of the
-    base computes one matrix product a batch and keeps its k best a query, so
-    what is shuffled is k rows a query and partition.
+    base computes matrix products of bounded size and passes on what reaches the
+    k-th best of the query so far: some k rows a query and partition are shuffled.
     """
     queries = checkpoint(queries.select("query_id", "vector"))
     n_queries = queries.count()
@@ -150,6 +131,8 @@ def vector_search(base: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
 #: Queries broadcast at once.
 _QUERY_BLOCK = 20_000
+#: Cells of a block of queries x vectors.
+_CELLS = 1 << 22
 
 
 def _search_block(base, queries, k, metric, positive, base_id, base_vec):
@@ -161,32 +144,35 @@ def _search_block(base, queries, k, metric, positive, base_id, base_vec):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = bc.value
-        best: list[pd.DataFrame] = []
+        bar = np.full(len(ids), -np.inf)  # the k-th best of each query so far: what is held doesn't grow with the base
+        lengths = np.array([len(v) for v in vectors])
         for pdf in batches:
             own = [np.asarray(v, float) if v is not None else np.zeros(0) for v in pdf[base_vec]]
             size = np.array([len(v) for v in own])
-            for n in np.unique([len(v) for v in vectors]):
-                q = np.flatnonzero([len(v) == n for v in vectors])
+            for n in np.unique(lengths):
+                q = np.flatnonzero(lengths == n)
                 d = np.flatnonzero(size == n)
                 if not n or not len(d):
                     continue
-                a, m = np.stack([vectors[i] for i in q]), np.stack([own[i] for i in d])
-                na, nm = np.sqrt((a * a).sum(1)), np.sqrt((m * m).sum(1))
-                dot = a @ m.T
-                if metric == "cosine":
-                    norm = na[:, None] * nm[None, :]
-                    score = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-                else:
-                    score = 2 * dot - nm[None, :] ** 2 - na[:, None] ** 2  # the same order; distances of those that stay are taken anew
-                bid = pdf[base_id].to_numpy()[d]
-                for i, row in zip(q, score):
-                    # all that tie with the k-th stay, so that ties are settled by id in the end
-                    edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    pick = np.flatnonzero((row >= edge) & ((row > 0) if positive else True))
-                    own_score = row[pick] if metric == "cosine" else -np.sqrt(((m[pick] - vectors[i]) ** 2).sum(1))
-                    best.append(pd.DataFrame({"query_id": ids[i], base_id: bid[pick], "score": own_score}))
-        if best:
-            yield pd.concat(best)
+                m, bid = np.stack([own[i] for i in d]), pdf[base_id].to_numpy()[d]
+                nm = np.sqrt((m * m).sum(1))
+                for part in np.array_split(q, -(-len(q) * len(d) // _CELLS)):
+                    a = np.stack([vectors[i] for i in part])
+                    na = np.sqrt((a * a).sum(1))
+                    score = a @ m.T
+                    if metric == "cosine":
+                        norm = na[:, None] * nm[None, :]
+                        score = np.divide(score, norm, out=np.zeros_like(score), where=norm > 0)
+                    else:
+                        score = 2 * score - nm[None, :] ** 2 - na[:, None] ** 2  # the same order; distances of those that stay are taken anew
+                    if len(d) > k:
+                        bar[part] = np.maximum(bar[part], np.partition(score, -k, 1)[:, -k])
+                    # all that about tie with the k-th stay, so that ties are settled by id in the end
+                    edge = bar[part] - 3e-9 * np.where(np.isinf(bar[part]), 0.0, np.maximum(1.0, np.abs(bar[part])))
+                    at, pick = np.nonzero((score >= edge[:, None]) & ((score > 0) if positive else True))
+                    if len(at):
+                        own_score = score[at, pick] if metric == "cosine" else -np.sqrt(((m[pick] - a[at]) ** 2).sum(1))
+                        yield pd.DataFrame({"query_id": ids[part[at]], base_id: bid[pick], "score": own_score})
 
     return base.select(base_id, base_vec).mapInPandas(run, f"query_id long, {base_id} long, score double")
 
@@ -240,16 +226,22 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     of BM25, cosine and fused score, ties by doc_id), but only their heads can
     win: an item beyond place 2 (rrf_k + k) - rrf_k of both scores less than the
     k best of either list. So the heads of both lists are candidates, and the
-    ranks of those in the other list are joined or counted.
+    ranks of those in the other list are counted; neither list is ever sorted whole.
     """
     deep = rrf_k + 2 * k + 1
-    scores = bm25_scores(docs, queries).withColumn("score", F.round("score", digits[0]))
-    lexical = checkpoint(rank_by(scores, "query_id", "score", "doc_id").select("query_id", "doc_id", "rank"))
+    found, weigh = term_hits(docs, queries, "doc_id", "text"), _bm25_weights(1.5, 0.75)
+    scores = found.scores(weigh, ["score"], deep, 2 * 10.0 ** -digits[0]).withColumn("score", F.round("score", digits[0])).filter("score > 0")
+    lexical = checkpoint(rank_by(scores, "query_id", "score", "doc_id", deep).select("query_id", "doc_id", "rank"))
     have = queries.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("query_id", "vector")
     near = vector_search(vectors, have, deep + k, positive=True, base_id="doc_id").withColumn("score", F.round("score", digits[1])).filter("score > 0").drop("rank")
-    head = rank_by(near, "query_id", "score", "doc_id", deep).select("query_id", "doc_id", "rank")
-    pairs = checkpoint(lexical.filter(F.col("rank") <= deep).select("query_id", "doc_id").unionByName(head.select("query_id", "doc_id")).distinct())
-    of_both = lexical.join(pairs, ["query_id", "doc_id"], "left_semi").unionByName(vector_ranks(vectors, have, pairs, digits[1]))
+    head = checkpoint(rank_by(near, "query_id", "score", "doc_id", deep).select("query_id", "doc_id", "rank"))
+    pairs = checkpoint(lexical.select("query_id", "doc_id").unionByName(head.select("query_id", "doc_id")).distinct())
+    if found.own:
+        ranks = lexical.unionByName(found.ranks(weigh, head.join(lexical, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id"), digits[0]))
+    else:
+        every = found.scores(weigh, ["score"]).withColumn("score", F.round("score", digits[0])).filter("score > 0")
+        ranks = rank_by(every, "query_id", "score", "doc_id").select("query_id", "doc_id", "rank").join(pairs, ["query_id", "doc_id"], "left_semi")
+    of_both = ranks.unionByName(vector_ranks(vectors, have, pairs, digits[1]))
     fused = rrf(of_both, ["query_id"], k=rrf_k).withColumn("score", F.round("score", digits[2]))
     return rank_by(fused, "query_id", "score", "doc_id", k)
 

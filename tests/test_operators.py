@@ -470,3 +470,61 @@ def test_iterative_reduce_that_runs_out_of_rounds(spark):
     assert [(r["rank"], r.batch_index, r.merged) for r in got] == [(i + 1, i, 100) for i in range(6)]
     assert len(rd.iterative_reduce(df, "v", "seq", rounds=2).collect()) == 5
     assert [r.merged for r in rd.iterative_reduce(df, "v", "seq").collect()] == [600]
+
+
+def test_words_are_the_tokens_of_the_expression(spark):
+    from sigloom.operators import terms as tm
+
+    texts = ["Élan naïve_1 x 42 ñ ab", "ascii_only The word-list 7 it's", "٣٤ ⅷ² 日本語 áb‿ c \U0001d4d0\U0001d4d1 😀😀", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(F.lower("t").alias("low"), tx.tokens("t").alias("a"), tx.content_tokens("t").alias("b")).collect():
+        assert tm.words(r.low) == r.a and tm.words(r.low, 3, tm.STOP) == r.b
+
+
+def test_scores_by_blocks_and_of_shared_ids(spark, monkeypatch):
+    """Small blocks of documents and queries give the same; documents of one id count together as the SQL groups them."""
+    from sigloom.operators import terms as tm
+
+    r = random.Random(2)
+    vocabulary = "river bread town song market child bridge rain".split()
+    docs = [(d, " ".join(r.choices(vocabulary, k=r.randint(0, 12)))) for d in range(60)]
+    queries = spark.createDataFrame([(q, " ".join(r.choices(vocabulary, k=4))) for q in range(9)], "query_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lambda f: {tuple(x)[:-1]: round(x[-1], 9) for x in f.collect()}
+    bm, tf = got(rt.bm25_scores(df, queries)), got(rt.tfidf_all(df, queries))
+    top = {(x.query_id, x["rank"]): x.doc_id for x in rt.bm25(df, queries, 3).collect()}
+    monkeypatch.setattr(tm, "CELLS", 20)
+    assert got(rt.bm25_scores(df, queries)) == bm and got(rt.tfidf_all(df, queries)) == tf
+    assert {(x.query_id, x["rank"]): x.doc_id for x in rt.bm25(df, queries, 3).collect()} == top
+    for q in range(9):
+        assert [d for _, d in sorted((-s, d) for (p, d), s in bm.items() if p == q)[:3]] == [top[q, i] for i in (1, 2, 3)]
+    # two documents of one id and length: their counts are one posting
+    twice = spark.createDataFrame([(1, "river town"), (1, "river song"), (2, "rain rain rain rain")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "river")], "query_id long, text string")
+    idf = math.log((3 - 1 + 0.5) / (1 + 0.5) + 1)
+    assert got(rt.bm25_scores(twice, q)) == {(1, 1): pytest.approx(idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 2 / (8 / 3))))}
+
+
+def test_rare_terms_are_joined(spark, monkeypatch):
+    from sigloom.operators import terms as tm
+
+    r = random.Random(4)
+    docs = spark.createDataFrame([(d, " ".join(r.choice(["river", "bread", "market", f"word{r.randint(0, 40)}", f"once{d}"]) for _ in range(25))) for d in range(80)], "doc_id long, text string")
+    want = sorted(map(tuple, rt.distinctive_terms(docs, 4, digits=9).collect()))
+    monkeypatch.setattr(tm, "HELD", 10)
+    monkeypatch.setattr(tm, "COUNTED", 5)
+    assert sorted(map(tuple, rt.distinctive_terms(docs, 4, digits=9).collect())) == want
+
+
+def test_vector_search_holds_no_batch_back(spark):
+    """What a task passes on falls off as its batches go by; it passed on k rows a query of each."""
+    r = np.random.default_rng(1)
+    base = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(4000, 4)))], "vec_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query_id long, vector array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        assert rt._search_block(base, queries, 5, "cosine", False, "vec_id", "embedding").count() < 120  # of 40 batches
+        assert rt.vector_search(base, queries, 5).count() == 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
