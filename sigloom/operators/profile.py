@@ -1,7 +1,7 @@
 """Column profiles, personal data and pattern scans, anomaly scores and type inference.
 
-A profile of many columns is one aggregate over one scan; distinct counts are
-exact by one more over (column, value) rows.
+A profile of many columns is one aggregate over one scan; quartiles and distinct
+counts are exact, and no task gathers a column's values.
 """
 
 from __future__ import annotations
@@ -20,6 +20,49 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("e")).select("e.*")
 
 
+#: Parts of a column in one of which a sketch places a quantile.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.25, 0.75)) -> dict[str, list[float | None]]:
+    """Exact quantiles by column, interpolated between neighbours; nulls don't count.
+
+    A sketch tells two values that surely lie about each quantile; one more scan
+    counts what is below them, and only values between them are told apart.
+    """
+    v = {c: F.col(c).cast("double") for c in columns}
+    margin, names = 2.0 / SKETCH, [f"c{i}" for i in range(len(columns))]
+    shares = [min(max(p + d, 0.0), 1.0) for p in at for d in (-margin, margin)]
+    sketch = df.agg(*[F.struct(F.percentile_approx(v[c], shares, SKETCH).alias("s"), F.min(v[c]).alias("lo"), F.max(v[c]).alias("hi"), F.count(v[c]).alias("n")).alias(a) for a, c in zip(names, columns)]).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(at) for c in columns}
+    open_ = []  # column, place among the quantiles, ranks wanted, bounds
+    for a, c in zip(names, columns):
+        n = sketch[a]["n"]
+        for j, p in enumerate(at if n else ()):
+            lo, hi = (sketch[a]["lo"] if p <= margin else sketch[a]["s"][2 * j]), (sketch[a]["hi"] if p >= 1 - margin else sketch[a]["s"][2 * j + 1])
+            open_.append((c, j, p * (n - 1), lo, hi, sketch[a]["lo"], sketch[a]["hi"]))
+    while open_:
+        inside = [F.struct(F.lit(i).alias("i"), v[c].alias("v")) for i, (c, _, _, lo, hi, _, _) in enumerate(open_)]
+        near = reduce(lambda a, b: a | b, [v[c].between(lo, hi) for c, _, _, lo, hi, _, _ in open_])
+        cells = df.filter(near).select(F.explode(F.filter(F.array(*[F.when(v[c].between(lo, hi), s) for s, (c, _, _, lo, hi, _, _) in zip(inside, open_)]), lambda x: x.isNotNull())).alias("x")).select("x.i", "x.v")
+        below = df.agg(*[F.count_if(v[c] < lo).alias(f"b{i}") for i, (c, _, _, lo, _, _, _) in enumerate(open_)]).first()
+        counts = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("i").orderBy("v")
+        spread = counts.withColumn("end", F.sum("n").over(w))
+        # the values at two neighbouring ranks of each
+        want = spread.sparkSession.createDataFrame([(i, int(r) - below[f"b{i}"], min(int(r) + (r > int(r)), int(r) + 1) - below[f"b{i}"]) for i, (_, _, r, _, _, _, _) in enumerate(open_)], "i int, p long, q long")
+        hit = lambda k: F.max(F.when((F.col(k) >= F.col("end") - F.col("n")) & (F.col(k) < F.col("end")), F.col("v")))
+        found = {r["i"]: r for r in spread.join(F.broadcast(want), "i").groupBy("i").agg(hit("p").alias("p"), hit("q").alias("q")).collect()}
+        again = []
+        for i, (c, j, r, lo, hi, least, most) in enumerate(open_):
+            if (x := found.get(i)) and x["p"] is not None and x["q"] is not None:
+                out[c][j] = x["p"] + (x["q"] - x["p"]) * (r - int(r))
+            elif (lo, hi) != (least, most):
+                again.append((c, j, r, least, most, least, most))  # the sketch erred: the whole column
+        open_ = again
+    return out
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, is_numeric, is_identifier, row_count, null_percent, unique_count, unique_percent, outlier_count, skewness, kurtosis).
 
@@ -28,14 +71,11 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     types = dict(df.dtypes)
     numeric = [c for c in columns if types[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
-    quart = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in numeric]) if numeric else None
-    joined = df.select(*columns)
-    if numeric:
-        joined = joined.crossJoin(F.broadcast(quart.select(*[F.col(c).alias(f"__q_{c}") for c in numeric])))
+    quart = quantiles(df, numeric) if numeric else {}
     one = []
     for c in columns:
         num = c in numeric
-        v, q = F.col(c).cast("double"), F.col(f"__q_{c}") if num else None
+        v, q = F.col(c).cast("double"), [F.lit(x).cast("double") for x in quart[c]] if num else None
         spread = (q[1] - q[0]) * 1.5 if num else None
         out = F.count_if((v < q[0] - spread) | (v > q[1] + spread)) if num else F.lit(0).cast("long")
         null = F.lit(None).cast("double")
@@ -50,8 +90,9 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
                 ((F.kurtosis(v) + 3) if num else null).alias("kurtosis"),
             )
         )
-    base = joined.agg(F.array(*one).alias("e")).select(F.explode("e").alias("e")).select("e.*")
-    unique = long_values(df, columns).filter("value is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("u"))
+    base = df.agg(F.array(*one).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    each = [df.select(F.col(c).alias("v")).filter("v is not null").distinct().agg(F.count(F.lit(1)).alias("u")).select(F.lit(c).alias("column"), "u") for c in columns]
+    unique = reduce(DataFrame.unionByName, each)
     out = base.join(unique, "column", "left").withColumn("unique_count", F.coalesce("u", F.lit(0)))
     out = out.withColumn("unique_percent", F.when(F.col("row_count") > 0, F.col("unique_count") / F.col("row_count") * 100).otherwise(0.0))
     out = out.withColumn("is_identifier", F.lower("column").rlike("(^|_)(id|key|uuid)$|key$"))

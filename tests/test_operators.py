@@ -528,3 +528,16 @@ def test_vector_search_holds_no_batch_back(spark):
         assert rt.vector_search(base, queries, 5).count() == 5
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_quantiles_gather_no_column(spark):
+    """Exact by a sketch and counts, with ties, nulls and a sketch that errs; no task gets a column's values."""
+    r = random.Random(9)
+    rows = [(r.gauss(0, 1), r.choice([1, 1, 1, 2, 9]), None if r.random() < 0.3 else r.randint(0, 999)) for _ in range(3001)]
+    df = spark.createDataFrame(rows, "a double, b int, c int").withColumn("d", F.lit(None).cast("double"))
+    got = pf.quantiles(df, ["a", "b", "c", "d"])
+    for i, c in enumerate("abc"):
+        assert got[c] == pytest.approx(np.percentile([x[i] for x in rows if x[i] is not None], [25, 75]))
+    assert got["d"] == [None, None]
+    plan = pf.column_profile(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "generator" not in plan.split("Join")[-1]
