@@ -54,12 +54,17 @@ def whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def may_be_pii(value) -> Column:
+    """Whether a pattern of PII may fit: each asks for a digit, ``@``, ``:`` or ``-``, but VIN's, for 17 characters."""
+    return col(value).rlike("[0-9@:-]") | (F.length(col(value)) == 17)
+
+
 def pii_type(value) -> Column:
     """The first type whose pattern the whole value fits, else null."""
-    out = None
+    out = F.when(~may_be_pii(value), F.lit(None).cast("string"))
     for name, pattern in PII:
         hit = col(value).rlike(whole(pattern))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(hit, name)
     return out
 
 

@@ -21,12 +21,12 @@ _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(v, '^(?:{_sql(p)})$') THEN '{n}
 
 def _tokens(spark, sf) -> DataFrame:
     """Every blank-separated token of the documents, by language."""
-    return read(spark, sf, "documents").select(F.col("lang").alias("column"), F.explode(F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")).alias("value"))
+    return read(spark, sf, "documents").select(F.col("lang").alias("column"), F.explode(F.split("text", "[ \\t\\n\\r]+")).alias("value")).filter("value <> ''")
 
 
 @query("pii_tokens", f"WITH {_TOKENS}, t AS (SELECT \"column\", {_TYPE} AS kind FROM tok) SELECT \"column\", kind, count(*) AS n FROM t WHERE kind IS NOT NULL GROUP BY ALL")
 def pii_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _tokens(spark, sf).select("column", pt.pii_type("value").alias("kind")).filter("kind is not null").groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _tokens(spark, sf).filter(pt.may_be_pii("value")).select("column", pt.pii_type("value").alias("kind")).filter("kind is not null").groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cells(spark, sf) -> DataFrame:
@@ -58,7 +58,7 @@ _REDACT = "CASE WHEN length(v) <= 4 THEN '****' WHEN kind = 'SSN' THEN '***-**-'
 
 @query("redact", f"WITH {_TOKENS}, t AS (SELECT v, {_TYPE} AS kind FROM tok) SELECT DISTINCT kind, {_REDACT} AS masked FROM t WHERE kind IS NOT NULL")
 def redact(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tokens(spark, sf).select("value", pt.pii_type("value").alias("kind")).filter("kind is not null")
+    t = _tokens(spark, sf).filter(pt.may_be_pii("value")).select("value", pt.pii_type("value").alias("kind")).filter("kind is not null")
     return t.select("kind", pt.redact("value", "kind").alias("masked")).distinct()
 
 
