@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sigloom.functions import pairs
-from sigloom.functions.numbers import col
+from sigloom.functions.numbers import col, let
 
 #: Word characters: letters, combining marks, digits, connectors.
 WORD = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"
@@ -140,18 +140,27 @@ def text_quality(text, lenient: bool = True) -> Column:
     The lenient variant calls a text garbage only beyond 50 letters.
     """
     t = col(text)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    capitals = F.regexp_count(t, F.lit(r"\p{Lu}")) / letters
-    vowels = F.regexp_count(t, F.lit("[aeiouAEIOU]")) / letters
-    sure = (letters > 50) if lenient else F.lit(True)
-    return (
-        F.when(t.isNull() | (letters < 10), "Empty")
-        .when(((capitals > 0.4) | (vowels < 0.15)) & sure, "Garbage")
-        .when((vowels < 0.25) | (capitals > 0.25), "Low")
-        .when(word_count(t) < 20, "Medium")
-        .otherwise("High")
+    # by what is left of the text: counting matches makes an array of them
+    facts = F.struct(
+        F.length(F.regexp_replace(t, r"\P{L}+", "")).alias("letters"),
+        F.length(F.regexp_replace(t, r"\P{Lu}+", "")).alias("capitals"),
+        (F.length(t) - F.length(F.translate(t, "aeiouAEIOU", ""))).alias("vowels"),
+        t.rlike(r"^[ \t\n\r]*+(?:[^ \t\n\r]++[ \t\n\r]++){19}[^ \t\n\r]").alias("long"),
     )
 
+    def grade(f: Column) -> Column:
+        capitals, vowels = f["capitals"] / f["letters"], f["vowels"] / f["letters"]
+        sure = (f["letters"] > 50) if lenient else F.lit(True)
+        return (
+            F.when(f["letters"].isNull() | (f["letters"] < 10), "Empty")
+            .when(((capitals > 0.4) | (vowels < 0.15)) & sure, "Garbage")
+            .when((vowels < 0.25) | (capitals > 0.25), "Low")
+            .when(~f["long"], "Medium")
+            .otherwise("High")
+        )
+
+    return let(facts, grade)
+
 
 def overall_quality(grade) -> Column:
     """Aggregate: Garbage, Empty, Low (with Garbage) or High if more than half (by integer division) are, else Medium."""

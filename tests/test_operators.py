@@ -541,3 +541,36 @@ def test_quantiles_gather_no_column(spark):
     assert got["d"] == [None, None]
     plan = pf.column_profile(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "generator" not in plan.split("Join")[-1]
+
+
+def test_text_quality_counts_what_stays(spark):
+    """Shares are those of the matches one by one; matches are no longer gathered."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("aeiouAEIOU bcdXYZ éÉß1\n\U0001d400") for _ in range(r.randint(0, 200))) for _ in range(80)] + ["one two\tthree " * 7, "  word" * 19, " word" * 20 + " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = [F.regexp_count("t", F.lit(p)) for p in (r"\p{L}", r"\p{Lu}", "[aeiouAEIOU]", r"[^ \t\n\r]+")]
+
+    def grade(t, a, u, v, w):
+        if t is None or a < 10:
+            return "Empty"
+        if (u / a > 0.4 or v / a < 0.15) and a > 50:
+            return "Garbage"
+        return "Low" if v / a < 0.25 or u / a > 0.25 else "Medium" if w < 20 else "High"
+
+    made = df.select(tx.text_quality("t").alias("g"), "t", *counted)
+    for row in made.collect():
+        assert row.g == grade(*row[1:])
+    assert "regexp_extract_all" not in df.select(tx.text_quality("t"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_pattern_fits_what_cannot_be_pii(spark):
+    """What the first look leaves out fits no pattern, and it is looked at before them."""
+    import re
+
+    r = random.Random(8)
+    some = ["a1@b.com", "aa:bb:cc:dd:ee:ff", "ab-cd-ef-ab-cd-ef", "https://x.org", "WVWZZZJZZWWABCDEF", "abcdefgh", "x.y", "(", "1.2.3.4"]
+    texts = some + ["".join(r.choice("aA1@:-./$F") for _ in range(r.randint(1, 18))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for x in df.select("t", pt.pii_type("t").alias("kind"), pt.may_be_pii("t").alias("may")).collect():
+        want = next((n for n, p in pt.PII if re.match(pt.whole(p), x.t, re.ASCII)), None)
+        assert x.kind == want and (x.may or want is None)
