@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,18 +116,45 @@ def trend(df: DataFrame, by: str, y: str, seq: str) -> DataFrame:
 def autocorrelation(df: DataFrame, by: str, y: str, seq: str, max_lag: int = 50) -> DataFrame:
     """(by, lag, acf): lags 1 to max_lag below half the length, for keys of 2 * max_lag values or more.
 
-    One self-join on the index: each value meets the max_lag ones after it.
+    Values are numbered in two stages, by ranges of the numeric order column and
+    within them, and cut into blocks of the number; each block has the values of
+    the max_lag places after it too, so a task sums the products of its blocks.
     """
-    w = Window.partitionBy(by)
-    i = F.row_number().over(Window.partitionBy(by).orderBy(seq)).cast("int") - 1
-    rows = df.select(by, F.col(y).cast("double").alias("y"), i.alias("i"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("d", F.col("y") - F.avg("y").over(w)).filter(F.col("n") >= 2 * max_lag)
-    lags = rows.select(by, "n", "d", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "i")
-    other = rows.select(by, F.col("i").alias("j"), F.col("d").alias("e"))
-    pairs = lags.filter(F.col("lag") < F.floor(F.col("n") / 2)).withColumn("j", F.col("i") + F.col("lag")).join(other, [by, "j"])
-    var = rows.groupBy(by).agg(F.sum(F.col("d") * F.col("d")).alias("v"))
-    per = pairs.groupBy(by, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c"))
-    return per.join(var, by).select(by, "lag", F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(0.0).alias("acf"))
+    rows = df.select(by, F.col(y).cast("double").alias("y"), F.col(seq).alias("seq"))
+    facts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).filter(F.col("n") >= 2 * max_lag)
+    share = (F.col("seq") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
+    facts = facts.withColumnRenamed(by, "__key")
+    placed = rows.join(F.broadcast(facts), F.col(by).eqNullSafe(F.col("__key"))).select(by, "seq", (F.col("y") - F.col("mean")).alias("d"), F.floor(share * _RANGES).cast("int").alias("range"))
+    sums = placed.groupBy(by, "range").agg(F.count(F.lit(1)).alias("c"))
+    start = F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col(by).alias("__by"), F.col("range").alias("__range"), start.alias("start"))
+    inside = placed.withColumn("i", F.row_number().over(Window.partitionBy(by, "range").orderBy("seq")) - 1)
+    inside = inside.join(F.broadcast(starts), F.col(by).eqNullSafe(F.col("__by")) & (F.col("range") == F.col("__range")))
+    numbered = inside.select(by, "d", (F.col("i") + F.col("start")).alias("i"))
+    block = F.floor(F.col("i") / _BLOCK)
+    halo = F.when((F.col("i") % _BLOCK < max_lag) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    cut = numbered.filter("d is not null").select(by, "d", "i", F.explode(halo).alias("block"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["i"].to_numpy() - int(pdf["block"].iloc[0]) * _BLOCK
+        d, there = np.zeros(_BLOCK + max_lag), np.zeros(_BLOCK + max_lag, bool)
+        d[at], there[at] = pdf["d"].to_numpy(float), True
+        met = [bool((there[:_BLOCK] & there[lag : lag + _BLOCK]).any()) for lag in range(max_lag + 1)]
+        c = np.array([d[:_BLOCK] @ d[lag : lag + _BLOCK] for lag in range(max_lag + 1)])
+        # NaN would come out as null
+        out = pd.DataFrame({by: [pdf[by].iloc[0]] * len(c), "lag": np.arange(len(c), dtype="int32"), "c": np.nan_to_num(c, posinf=np.inf, neginf=-np.inf), "nan": np.isnan(c)})
+        return out[met]
+
+    kind = df.select(by).schema[0].dataType.simpleString()
+    per = cut.groupBy(by, "block").applyInPandas(run, f"`{by}` {kind}, lag int, c double, nan boolean")
+    per = per.groupBy(by, "lag").agg(F.when(F.max("nan"), F.lit(float("nan"))).otherwise(F.sum("c")).alias("c"))
+    var = per.filter("lag = 0").select(F.col(by).alias("__by"), F.col("c").alias("v"))
+    out = per.filter("lag > 0").join(F.broadcast(var), F.col(by).eqNullSafe(F.col("__by"))).join(F.broadcast(facts.select("__key", "n")), F.col(by).eqNullSafe(F.col("__key")))
+    return out.filter(F.col("lag") < F.floor(F.col("n") / 2)).select(by, "lag", F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(0.0).alias("acf"))
+
+
+#: Values of a block, and ranges of a key's order column.
+_BLOCK, _RANGES = 1 << 16, 1024
 
 
 def periodicity(df: DataFrame, by: str, y: str, seq: str, max_lag: int = 50, least: float = 0.2) -> DataFrame:
@@ -198,20 +227,20 @@ def meter(df: DataFrame, ts: str, units: Column, limit: float, window_s: int = 6
     """(by, second, used, percent, throttle, level) for each second with work: the sum over the window that ends there.
 
     The throttle is 1 up to 80 % and falls to 0 at 100 %; the level is the
-    highest of 80, 90, 100 reached (0 below).
+    highest of 80, 90, 100 reached (0 below). Sums run within blocks of the
+    window's length: no row's frame is summed anew, and no key is one task's work.
     """
     second = F.floor(us(ts) / 1_000_000).cast("long")
     per = df.groupBy(*by, second.alias("second")).agg(F.sum(units).alias("units"))
-    keys = list(by) or [F.floor(F.col("second") / 86_400)]  # days apart don't share a window but at their border
-    w = Window.partitionBy(*by).orderBy("second").rangeBetween(-(window_s - 1), 0) if by else None
-    if w is None:
-        # without a key: day blocks, each with a copy of the seconds that reach into the next
-        tail = per.filter(F.col("second") % 86_400 >= 86_400 - (window_s - 1))
-        both = per.select("second", "units", keys[0].alias("day"), F.lit(True).alias("own")).unionByName(tail.select("second", "units", (keys[0] + 1).alias("day"), F.lit(False).alias("own")))
-        used = F.sum("units").over(Window.partitionBy("day").orderBy("second").rangeBetween(-(window_s - 1), 0))
-        per = both.withColumn("used", used).filter("own").select("second", "used")
-    else:
-        per = per.withColumn("used", F.sum("units").over(w)).drop("units")
+    # blocks as long as the window: it is the block up to the second, and the block before from its place on
+    block, place = F.floor(F.col("second") / window_s).cast("long"), F.pmod("second", F.lit(window_s))
+    own = per.select(*by, "second", "units", block.alias("block"), place.alias("place"), F.lit(True).alias("own"))
+    both = own.unionByName(own.select(*by, "second", "units", (F.col("block") + 1).alias("block"), "place", F.lit(False).alias("own")))
+    w = Window.partitionBy(*by, "block").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.sum(F.when(F.col("own"), F.col("units"))).over(w.orderBy("place", F.col("own").desc()))
+    before = F.sum(F.when(~F.col("own"), F.col("units"))).over(w.orderBy(F.col("place").desc(), F.col("own").desc()))
+    both = both.withColumn("here", here).withColumn("before", before).filter("own")
+    per = both.select(*by, "second", F.coalesce(F.col("here") + F.col("before"), "here", "before").alias("used"))
     pct = F.col("used") / limit * 100
     throttle = F.when(pct <= 80, 1.0).when(pct >= 100, 0.0).otherwise((100 - pct) / 20)
     return per.withColumn("percent", pct).withColumn("throttle", throttle).withColumn("level", F.when(pct >= 100, 100).when(pct >= 90, 90).when(pct >= 80, 80).otherwise(0))

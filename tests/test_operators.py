@@ -574,3 +574,34 @@ def test_no_pattern_fits_what_cannot_be_pii(spark):
     for x in df.select("t", pt.pii_type("t").alias("kind"), pt.may_be_pii("t").alias("may")).collect():
         want = next((n for n, p in pt.PII if re.match(pt.whole(p), x.t, re.ASCII)), None)
         assert x.kind == want and (x.may or want is None)
+
+
+def test_autocorrelation_across_blocks(spark, monkeypatch):
+    """Blocks and ranges of a few values give the sums of the whole series, with a null in it."""
+    monkeypatch.setattr(wn, "_BLOCK", 16)
+    monkeypatch.setattr(wn, "_RANGES", 5)
+    r = random.Random(6)
+    rows = [(k, 10 * i + i % 3, None if i == 7 else r.random()) for k, n in (("a", 97), ("b", 10), ("c", 9)) for i in range(n)]
+    got = {(x.k, x.lag): x.acf for x in wn.autocorrelation(spark.createDataFrame(rows, "k string, seq long, y double"), "k", "y", "seq", 5).collect()}
+    want = {}
+    for k in "ab":
+        y = [v for key, _, v in rows if key == k]
+        mean = sum(v for v in y if v is not None) / sum(v is not None for v in y)
+        d = [None if v is None else v - mean for v in y]
+        total = lambda lag: sum(p * q for p, q in zip(d, d[lag:]) if p is not None and q is not None)
+        want |= {(k, lag): total(lag) / total(0) for lag in range(1, 6) if lag < len(y) // 2}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_meter_sums_no_frame_anew(spark, by):
+    """Windows across blocks, before 1970 too, by running sums: the plan has no sliding frame."""
+    r = random.Random(1)
+    rows = [(r.choice("ab"), s, None if s % 17 == 0 else r.random()) for s in r.sample(range(-300, 900), 400)]
+    df = spark.createDataFrame(rows, "k string, s long, units double").withColumn("ts", F.timestamp_seconds("s"))
+    out = wn.meter(df, "ts", F.col("units"), 10.0, 60, by)
+    for x in out.collect():
+        own = [u for k, s, u in rows if x.second - 59 <= s <= x.second and u is not None and (not by or k == x.k)]
+        assert x.used == (pytest.approx(sum(own)) if own else None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "-59" not in plan
